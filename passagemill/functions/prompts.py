@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import CONTEXT_MARK, LONG_CLIP_SUFFIX, QUESTION_MARK, clip, strip
+from passagemill.functions.text import CONTEXT_MARK, LONG_CLIP_SUFFIX, QUESTION_MARK, clip, let, strip
 
 # Health profile fields and their labels, in prompt order.
 PROFILE_LABELS = {
@@ -121,5 +121,11 @@ def citation_key(doc: Column) -> Column:
 
 def citations(docs: Column) -> Column:
     """Each cited title (or source) once, at its first place; one message cites few documents."""
-    keys = F.transform(docs, citation_key)
-    return F.filter(docs, lambda d, i: F.array_position(keys, citation_key(d)) == i + 1)
+
+    def firsts(ds: Column) -> Column:
+        return let(
+            F.transform(ds, citation_key),
+            lambda keys: F.filter(ds, lambda d, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1),
+        )
+
+    return let(docs, firsts)

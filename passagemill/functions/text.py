@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ TAIL_MARKERS = ("参考文献", "利益冲突")
 _SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to ``c``, which is computed once even when used many times or inside a lambda."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
@@ -92,10 +97,7 @@ def _squeeze_matches(c: Column, pattern: str) -> Column:
         )
         return F.array_join(F.zip_with(around, inside, lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
 
-    # The one-element transform names the text once, so the repairs before it run once.
-    return F.element_at(
-        F.transform(F.array(c), lambda t: F.when(F.regexp_like(t, F.lit(pattern)), squeezed(t)).otherwise(t)), 1
-    )
+    return let(c, lambda t: F.when(F.regexp_like(t, F.lit(pattern)), squeezed(t)).otherwise(t))
 
 
 def repair_layout_spacing(c: Column) -> Column:

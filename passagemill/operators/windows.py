@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import drop_blank_lines, strip
+from passagemill.functions.text import drop_blank_lines, let, strip
 from passagemill.operators.spread import quantiles
 
 
@@ -18,13 +18,18 @@ def window_pieces(text: Column, max_chars: int, step: int) -> Column:
     if max_chars < 1 or step < 1:
         raise ValueError("max_chars and step must be positive")
     span = -(-max_chars // step)
-    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    count = F.greatest(F.ceil((F.length(text) - max_chars) / step) + 1, F.lit(1)).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda i: strip(F.left(F.array_join(F.slice(steps, i, F.lit(span)), ""), F.lit(max_chars))),
-    )
-    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(windows)
+
+    def windows(t: Column) -> Column:
+        count = F.greatest(F.ceil((F.length(t) - max_chars) / step) + 1, F.lit(1)).cast("int")
+        return let(
+            F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
+            lambda steps: F.transform(
+                F.sequence(F.lit(1), count),
+                lambda i: strip(F.left(F.array_join(F.slice(steps, i, F.lit(span)), ""), F.lit(max_chars))),
+            ),
+        )
+
+    return let(text, lambda t: F.when(F.length(t) <= max_chars, F.array(t)).otherwise(windows(t)))
 
 
 def overlapped(text: Column, max_chars: int, overlap: int) -> Column:
