@@ -148,3 +148,127 @@ def layout_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = docs.select("doc_id", "source", blocks.alias("_blocks"))
     return rows.select("doc_id", "source", F.to_json(pages).alias("layout"))
+
+
+# ---- conversations -----------------------------------------------------------------------------
+
+FIRST_DAY = "timestamp'2024-01-01 00:00:00'"
+TURNS = 1_000_000  # message id = conversation id * TURNS + turn
+
+
+def _seconds(n: Column) -> Column:
+    return F.expr(FIRST_DAY) + F.make_dt_interval(secs=n)
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, conversation_id, role, content (JSON), created_at``."""
+    rows = read_table(spark, folder, "conversations")
+    return rows.select(
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
+        F.col("conv_id").alias("conversation_id"),
+        "role",
+        F.to_json(F.struct("text")).alias("content"),
+        _seconds(F.col("turn")).alias("created_at"),
+    )
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation rows: those with messages, and untouched ones without any."""
+    ids = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    untouched = ids.where(F.col("id") % 2 == 0).select((F.col("id") + TURNS).alias("id"))
+    rows = ids.unionByName(untouched)
+    n = F.col("id")
+    return rows.select(
+        "id",
+        (n % 50).alias("user_id"),
+        F.when(n % 4 == 0, " ").when(n % 4 == 1, F.concat(F.lit("chat "), n.cast("string"))).alias("title"),
+        F.when(n % 3 == 0, F.lit('{"text":"stored"}')).alias("last_message"),
+        F.when(n % 5 != 0, (n % 2)).cast("int").alias("message_count"),
+        F.when(n % 6 != 0, _seconds(n)).alias("created_at"),
+        F.when(n % 8 > 1, _seconds(n * 2)).alias("updated_at"),
+        (n % 7 == 0).alias("is_deleted"),
+    )
+
+
+def turn_pairs(spark: SparkSession, folder: str, gap: int = 1) -> DataFrame:
+    """``id, conv_id, turn, question, reply``: user turns with the assistant turn ``gap`` later."""
+    rows = read_table(spark, folder, "conversations")
+    asked = rows.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    said = rows.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - gap).alias("turn"), F.col("text").alias("reply"))
+    return asked.join(said, ["conv_id", "turn"]).withColumn("id", F.col("conv_id") * TURNS + F.col("turn"))
+
+
+def qa_records(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, split, questions, answers`` with JSON lists; one question list in five holds a nested list."""
+    rows = turn_pairs(spark, folder)
+    nested = hash_mod(5, "nest", F.col("id")) == 0
+    head = F.left("question", F.lit(50))
+    plain = F.to_json(F.array(F.col("question"), F.lit("  ")))
+    deep = F.concat(F.lit("["), F.to_json(F.array(F.concat(F.lit(" "), head), F.lit(""))), F.lit(","), F.to_json(F.struct("question")), F.lit("]"))
+    deep = F.replace(F.replace(deep, F.lit('{"question":'), F.lit("")), F.lit("}]"), F.lit("]"))
+    return rows.select(
+        "id",
+        F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("id") % 3 + 1).cast("int")).alias("split"),
+        F.when(nested, deep).otherwise(plain).alias("questions"),
+        F.to_json(F.array(F.col("reply"), F.lit(" "))).alias("answers"),
+    )
+
+
+# ---- judgements --------------------------------------------------------------------------------
+
+
+def judge_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, raw``: one judge reply per message, some wrapped in prose, some unreadable."""
+    from passagemill.functions.judging import DIMENSIONS
+
+    n = F.col("id")
+
+    def dimension(d: str, side: str) -> Column:
+        missing = hash_mod(20, "miss", d, side, n) == 0
+        return F.when(~missing, hash_mod(7, d, side, n)).alias(d)
+
+    reply = F.to_json(
+        F.struct(
+            F.element_at(F.array(*[F.lit(w) for w in ("A", "b ", "TIE", "x")]), (hash_mod(4, "winner", n) + 1).cast("int")).alias("winner"),
+            *[(hash_mod(10, "overall_score", s, n) + 1).alias(f"score_{s}") for s in "ab"],
+            *[F.struct(*[dimension(d, s) for d in DIMENSIONS]).alias(f"dimensions_{s}") for s in "ab"],
+            F.lit("because").alias("reason"),
+        )
+    )
+    roll = hash_mod(33, "format", n)
+    raw = F.when(roll == 0, "no verdict {").when(roll < 3, F.concat(F.lit("Verdict: "), reply, F.lit(" done."))).otherwise(reply)
+    return messages(spark, folder).select("id", raw.alias("raw"))
+
+
+def blind_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, question, base, dpo``: each message with two answers cut from its text."""
+    rows = read_table(spark, folder, "conversations")
+    return rows.select(
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
+        F.left("text", F.lit(60)).alias("question"),
+        F.concat(F.lit("a "), F.left("text", F.lit(200))).alias("base"),
+        F.concat(F.lit("b "), F.right("text", F.lit(200))).alias("dpo"),
+    )
+
+
+# ---- generation events -------------------------------------------------------------------------
+
+DELTA_CHARS = 20
+
+
+def generation_events(spark: SparkSession, folder: str) -> DataFrame:
+    """``request, seq, type, text, answer, usage``: assistant texts as 20-character deltas and an end or error."""
+    rows = read_table(spark, folder, "conversations").where(F.col("role") == "assistant")
+    rows = rows.select((F.col("conv_id") * TURNS + F.col("turn")).alias("request"), "text")
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    deltas = rows.select("request", F.posexplode(parts).alias("seq", "text"))
+    roll = hash_mod(50, "fate", F.col("request"))
+    last = rows.where(roll != 1).select(
+        "request",
+        F.size(parts).alias("seq"),
+        F.when(roll == 0, "error").otherwise("end").alias("type"),
+        F.when(roll > 9, F.concat(F.col("text"), F.lit(" "))).alias("answer"),
+        F.when(roll > 0, F.length("text").cast("bigint")).alias("completion_tokens"),
+    )
+    events = deltas.withColumn("type", F.lit("delta")).unionByName(last, allowMissingColumns=True)
+    return events.select("request", F.col("seq").cast("bigint").alias("seq"), "type", "text", "answer", "completion_tokens")
