@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import collapse_spaces, strip
+from passagemill.functions.text import collapse_spaces, let, strip
 
 # Judged dimensions, all metrics, weights of the weighted score, model names.
 DIMENSIONS = ("factual_consistency", "safety", "relevance", "completeness", "clarity", "boundary_awareness")
@@ -14,17 +14,20 @@ WEIGHTS = {"factual_consistency": 0.35, "safety": 0.35, "completeness": 0.15, "r
 MODELS = ("base", "dpo")
 
 
+def is_object(json_text: Column) -> Column:
+    variant = F.try_parse_json(F.nullif(json_text, F.lit("")))
+    return F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
+
+
 def reply_json(raw: Column) -> Column:
     """The reply as JSON text: the whole of it, else from the first ``{`` to the last ``}``, else null."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    inner = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    whole_ok = F.try_parse_json(F.nullif(text, F.lit(""))).isNotNull()
-    inner_ok = F.try_parse_json(F.nullif(inner, F.lit(""))).isNotNull()
-    return F.when(whole_ok, text).when(inner_ok, inner)
 
 
-def number(c: Column) -> Column:
-    return F.expr("try_cast(null as double)") if c is None else c.try_cast("double")
+    def read(text: Column) -> Column:
+        inner = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+        return F.when(is_object(text), text).when(is_object(inner), inner)
+
+    return let(strip(F.coalesce(raw, F.lit(""))), read)
 
 
 def winner(c: Column) -> Column:

@@ -75,16 +75,17 @@ def input_block(
 
 def message_text(content: Column) -> Column:
     """Text of a stored message: a bare string, the ``text`` of an object, else the JSON itself."""
-    value = strip(F.coalesce(content, F.lit("")))
-    variant = F.try_parse_json(value)
-    kind = F.schema_of_variant(variant)
-    bare = F.try_variant_get(variant, "$", "string")
-    inner_kind = F.schema_of_variant(F.try_variant_get(variant, "$.text", "variant"))
-    return (
-        F.when(kind == "STRING", strip(bare))
-        .when(inner_kind == "STRING", strip(F.get_json_object(value, "$.text")))
-        .otherwise(value)
-    )
+
+    def read(value: Column) -> Column:
+        variant = F.try_parse_json(value)
+        inner_kind = F.schema_of_variant(F.try_variant_get(variant, "$.text", "variant"))
+        return (
+            F.when(F.schema_of_variant(variant) == "STRING", strip(F.try_variant_get(variant, "$", "string")))
+            .when(inner_kind == "STRING", strip(F.get_json_object(value, "$.text")))
+            .otherwise(value)
+        )
+
+    return let(strip(F.coalesce(content, F.lit(""))), read)
 
 
 def usage_fields(prompt_tokens: Column, completion_tokens: Column) -> dict[str, Column]:

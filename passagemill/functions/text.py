@@ -133,7 +133,7 @@ def clip(c: Column, limit: int, suffix: str = "...(truncated)") -> Column:
     text = strip(F.coalesce(c, F.lit("")))
     if limit <= 0:
         return text
-    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(suffix))).otherwise(text)
+    return let(text, lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit(suffix))).otherwise(t))
 
 
 LONG_CLIP_SUFFIX = "\n...[truncated]"

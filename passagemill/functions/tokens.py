@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from passagemill.functions.text import let
+
 # Fixed value: one CJK character, or a run of ASCII word characters.
 TOKEN = "[\\u4e00-\\u9fff]|[A-Za-z0-9_]+"
 
@@ -21,13 +23,16 @@ def estimate_tokens(c: Column) -> Column:
 
     Lengths count UTF-16 units, so a character outside the basic plane weighs two.
     """
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    cjk = F.regexp_count(text, F.lit("[\\u3400-\\u9fff]"))
-    wide = F.regexp_count(text, F.lit("[\\x{10000}-\\x{10ffff}]"))
-    marks = F.regexp_count(text, F.lit(f"[^A-Za-z0-9_{_JS_SPACE}]")) + wide
-    rest = F.length(text) + wide - cjk
-    total = cjk + F.ceil(rest / 4) + F.ceil(marks * 0.25)
-    return F.when(F.regexp_like(text, F.lit(f"[^{_JS_SPACE}]")), total).otherwise(F.lit(0)).cast("bigint")
+
+    def weigh(text: Column) -> Column:
+        cjk = F.regexp_count(text, F.lit("[\\u3400-\\u9fff]"))
+        wide = F.regexp_count(text, F.lit("[\\x{10000}-\\x{10ffff}]"))
+        marks = F.regexp_count(text, F.lit(f"[^A-Za-z0-9_{_JS_SPACE}]")) + wide
+        rest = F.length(text) + wide - cjk
+        total = cjk + F.ceil(rest / 4) + F.ceil(marks * 0.25)
+        return F.when(F.regexp_like(text, F.lit(f"[^{_JS_SPACE}]")), total).otherwise(F.lit(0)).cast("bigint")
+
+    return let(F.coalesce(c.cast("string"), F.lit("")), weigh)
 
 
 def coverage(query_tokens: Column, text_tokens: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.prompts import message_text, usage_fields
 from passagemill.functions.text import norm, strip
 from passagemill.functions.tokens import estimate_tokens
-from passagemill.operators.spread import next_value
+from passagemill.operators.spread import computed_once, next_value
 
 # Token limits of a prompt and the cost of a message beyond its text.
 PROMPT_TOKENS, REPLY_TOKENS, HISTORY_TOKENS, SAFETY_TOKENS, MESSAGE_COST = 4096, 1024, 2048, 128, 4
@@ -66,12 +66,12 @@ def history_within(messages: DataFrame, budgets: DataFrame, most_tokens: int = H
     divided by that can fit; the per-conversation limit before the running sum is exact,
     is applied in every task before the shuffle, and bounds what one task holds.
     """
-    text = message_text(F.col("content"))
-    rows = messages.select("conversation_id", "id", "created_at", "role", text.alias("content")).where(F.col("content") != "")
+    rows = computed_once(messages.select("conversation_id", "id", "created_at", "role", F.col("content").alias("_raw")), content=message_text(F.col("_raw")))
+    rows = rows.drop("_raw").where(F.col("content") != "")
     newest = Window.partitionBy("conversation_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     fitting = most_tokens // (MESSAGE_COST + 1)
     near = rows.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= fitting)
-    costed = near.withColumn("cost", estimate_tokens(F.col("content")) + MESSAGE_COST)
+    costed = computed_once(near, cost=estimate_tokens(F.col("content")) + MESSAGE_COST)
     running = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = costed.withColumn("used", F.sum("cost").over(running)).join(budgets.select("conversation_id", "budget"), "conversation_id")
     role = F.when(F.lower("role") == "assistant", F.lit("assistant")).otherwise(F.lit("user"))

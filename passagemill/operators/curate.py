@@ -15,7 +15,7 @@ from passagemill.functions.keys import hash_mod
 from passagemill.functions.predicates import TOPIC_KEYWORDS, filled, mentions_any
 from passagemill.functions.prompts import training_prompt, user_text
 from passagemill.functions.text import collapse_spaces, norm, question_of_prompt
-from passagemill.operators.spread import first_rows
+from passagemill.operators.spread import computed_once, first_rows
 
 # ---- question/answer records -------------------------------------------------------------------
 
@@ -123,7 +123,7 @@ def gated(
     ``done`` holds prompts written earlier. Within one run a prompt counts as written
     from its first kept sample on.
     """
-    judged = samples.withColumn("judge", reply_json(F.col("judge_raw")))
+    judged = computed_once(samples, judge=reply_json(F.col("judge_raw")))
     score_a, score_b = (F.coalesce(F.get_json_object("judge", f"$.score_{s}").try_cast("double").cast("int"), F.lit(0)) for s in "ab")
     blank = {c: norm(F.col(c)) == "" for c in ("question", "chosen", "rejected")}
     own = (

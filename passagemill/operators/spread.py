@@ -21,6 +21,15 @@ def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / rows).cast("bigint")
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later steps use many times, behind a step the optimizer does not merge.
+
+    Without it an expensive expression is copied into every use of its column.
+    """
+    made = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def _joined(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(summary, [*keys, "_block"], "left")
 
@@ -142,6 +151,7 @@ def quantiles(
         F.max("_x").alias("_high"),
         F.percentile_approx("_x", edges, accuracy).alias("_edges"),
     )
+    few = F.col("_n") <= 5 * accuracy  # then the band is the whole (bounded) group; beyond, it spans 20 ranks and more
     wanted = []
     for i, (name, q) in enumerate(probs.items()):
         pos = (F.col("_n") - 1) * F.lit(q)
@@ -152,8 +162,8 @@ def quantiles(
                 low.cast("bigint").alias("lo"),
                 (F.ceil(pos) if rule == "linear" else low).cast("bigint").alias("hi"),
                 (pos - F.floor(pos)).alias("frac"),
-                F.when(F.lit(q - slack) <= 0, F.col("_low")).otherwise(F.col("_edges")[2 * i]).alias("from"),
-                F.when(F.lit(q + slack) >= 1, F.col("_high")).otherwise(F.col("_edges")[2 * i + 1]).alias("to"),
+                F.when(few | F.lit(q - slack <= 0), F.col("_low")).otherwise(F.col("_edges")[2 * i]).alias("from"),
+                F.when(few | F.lit(q + slack >= 1), F.col("_high")).otherwise(F.col("_edges")[2 * i + 1]).alias("to"),
             )
         )
     bands = bands.select(*keys, F.array(*wanted).alias("_wanted"))

@@ -20,7 +20,7 @@ from passagemill.functions.judging import DIMENSIONS, MODELS, WEIGHTS, dimension
 from passagemill.functions.keys import hash_mod
 from passagemill.functions.text import collapse_spaces, norm
 from passagemill.operators.encode import Encoder, cosine, encode_distinct, hashing_encoder
-from passagemill.operators.spread import quantiles, running_sum
+from passagemill.operators.spread import computed_once, quantiles, running_sum
 
 # ---- blinding and un-blinding ----------------------------------------------------------------
 
@@ -75,7 +75,7 @@ def judgements(replies: DataFrame, keys: DataFrame) -> DataFrame:
 
     ``replies`` is ``id, raw``. An unreadable reply is kept as such and is no tie.
     """
-    read = replies.select("id", reply_json(F.col("raw")).alias("_j"))
+    read = computed_once(replies.select("id", "raw"), _j=reply_json(F.col("raw"))).drop("raw")
 
     def field(path: str) -> Column:
         return F.get_json_object("_j", path)

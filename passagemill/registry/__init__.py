@@ -57,4 +57,4 @@ def _areas() -> list[Registry]:
     return [importlib.import_module(f"passagemill.registry.{name}").area for name in AREAS]
 
 
-AREAS = ["texts", "retrieval", "corpus", "judging"]
+AREAS = ["texts", "retrieval", "corpus", "judging", "curation", "streams"]

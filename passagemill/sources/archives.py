@@ -30,10 +30,13 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame([(path, place, member.filename, text)], columns=["archive", "place", "member", "text"])
 
 
-def archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """``archive, place, member, text`` of the kept members of all ZIP files; one member is held at a time."""
-    files = scan_files(spark, root, "*.zip").select("path", "content")
-    members = files.mapInPandas(_unzip, "archive string, place int, member string, text string")
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    return archive_members(scan_files(spark, root, "*.zip"))
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """``archive, place, member, text`` of the kept members of ZIP files ``path, content``; one member at a time."""
+    members = files.select("path", "content").mapInPandas(_unzip, "archive string, place int, member string, text string")
     return members.where(F.regexp_like("member", F.lit(KEPT_SUFFIXES))).withColumn("archive", file_name(F.col("archive")))
 
 

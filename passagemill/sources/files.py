@@ -34,11 +34,16 @@ def _decode_gbk(content: pd.Series) -> pd.Series:
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``relative_path, text`` of text files; valid UTF-8 files never leave the JVM."""
-    files = scan_files(spark, root, pattern)
+    """``relative_path, text`` of text files; see ``decoded``."""
+    return decoded(scan_files(spark, root, pattern).select("relative_path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``content`` as ``text``: UTF-8, else GBK with replacement characters. Only the rest reaches Python."""
+    keys = [c for c in files.columns if c != "content"]
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    good = files.where(valid).select("relative_path", unify_newlines(F.col("content").cast("string")).alias("text"))
-    bad = files.where(~valid).select("relative_path", unify_newlines(_decode_gbk(F.col("content"))).alias("text"))
+    good = files.where(valid).select(*keys, unify_newlines(F.col("content").cast("string")).alias("text"))
+    bad = files.where(~valid).select(*keys, unify_newlines(_decode_gbk(F.col("content"))).alias("text"))
     return good.unionByName(bad)
 
 

@@ -8,19 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.judging import is_object
 from passagemill.functions.predicates import CHUNK_FIELDS
 from passagemill.functions.text import collapse_spaces, first_filled, norm, question_of_prompt, strip
 from passagemill.operators.spread import first_rows
 
 
-def is_object(json_text: Column) -> Column:
-    variant = F.try_parse_json(F.nullif(strip(F.coalesce(json_text, F.lit(""))), F.lit("")))
-    return F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
-
-
 def tolerant_records(lines: DataFrame, schema: str | T.StructType, value: str = "value") -> DataFrame:
     """Records of JSON lines; blank and malformed lines and lines that are no object are dropped."""
-    good = lines.where(is_object(F.col(value)))
+    good = lines.where(is_object(strip(F.coalesce(F.col(value), F.lit("")))))
     return good.select(*[c for c in lines.columns if c != value], F.from_json(value, schema).alias("_r")).select("*", "_r.*").drop("_r")
 
 
