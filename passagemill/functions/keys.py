@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import norm, strip, truncate_utf8
+from passagemill.functions.text import let, norm, strip, truncate_utf8
 
 # What stands in for a missing source or title.
 UNKNOWN_SOURCE, UNKNOWN_TITLE = "未知来源", "未知"
@@ -68,15 +68,23 @@ def safe_path(c: Column) -> Column:
 
 def document_id(path: Column, max_bytes: int = 128) -> Column:
     """The path itself when short enough, else ``category/stem__hash.ext`` within ``max_bytes`` bytes."""
-    digest = F.left(F.md5(F.encode(path, "UTF-8")), F.lit(10))
-    ext = F.coalesce(F.nullif(suffix(path), F.lit("")), F.lit(".pdf"))
-    category = F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise(F.lit("root"))
-    prefix = F.concat(F.coalesce(F.nullif(truncate_utf8(category, 32), F.lit("")), F.lit("root")), F.lit("/"))
-    tail = F.concat(F.lit("__"), digest, ext)
-    room = F.lit(max_bytes) - F.octet_length(prefix) - F.octet_length(tail)
-    short_stem = F.coalesce(F.nullif(truncate_utf8(stem(path), F.greatest(room, F.lit(0))), F.lit("")), F.lit("f"))
-    hashed = F.when(room < 1, F.concat(F.lit("f/"), digest, ext)).otherwise(F.concat(prefix, short_stem, tail))
-    return F.when(F.octet_length(path) <= max_bytes, path).otherwise(truncate_utf8(hashed, max_bytes))
+
+    def hashed(p: Column) -> Column:
+        ext = F.coalesce(F.nullif(suffix(p), F.lit("")), F.lit(".pdf"))
+        digest = F.left(F.md5(F.encode(p, "UTF-8")), F.lit(10))
+        category = F.when(F.contains(p, F.lit("/")), F.substring_index(p, "/", 1)).otherwise(F.lit("root"))
+        prefix = F.concat(F.coalesce(F.nullif(truncate_utf8(category, 32), F.lit("")), F.lit("root")), F.lit("/"))
+        parts = F.struct(prefix.alias("prefix"), stem(p).alias("stem"), F.concat(F.lit("__"), digest, ext).alias("tail"))
+
+        def fitted(x: Column) -> Column:
+            room = F.lit(max_bytes) - F.octet_length(x["prefix"]) - F.octet_length(x["tail"])
+            short = truncate_utf8(x["stem"], F.greatest(room, F.lit(0)))
+            named = F.concat(x["prefix"], F.coalesce(F.nullif(short, F.lit("")), F.lit("f")), x["tail"])
+            return F.when(room < 1, F.concat(F.lit("f/"), F.substring(x["tail"], 3, max_bytes))).otherwise(named)
+
+        return truncate_utf8(let(parts, fitted), max_bytes)
+
+    return let(path, lambda p: F.when(F.octet_length(p) <= max_bytes, p).otherwise(hashed(p)))
 
 
 def path_fields(path: Column) -> dict[str, Column]:

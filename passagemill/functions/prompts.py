@@ -34,8 +34,10 @@ def _section(head: str, body: Column) -> Column:
 
 def profile_text(profile_json: Column) -> Column:
     """One ``- label: value`` line per filled field of a JSON health profile."""
-    lines = [_section(f"- {label}: ", F.get_json_object(profile_json, f"$.{key}")) for key, label in PROFILE_LABELS.items()]
-    return F.concat_ws("\n", *lines)
+    fields = F.from_json(profile_json, ", ".join(f"{key} string" for key in PROFILE_LABELS))
+    return let(
+        fields, lambda f: F.concat_ws("\n", *[_section(f"- {label}: ", f[key]) for key, label in PROFILE_LABELS.items()])
+    )
 
 
 def user_text(question: Column, context: Column, profile_json: Column | None = None, report: Column | None = None) -> Column:

@@ -142,10 +142,14 @@ LONG_CLIP_SUFFIX = "\n...[truncated]"
 def truncate_utf8(c: Column, max_bytes: Column | int) -> Column:
     """Longest prefix of at most ``max_bytes`` bytes that does not end inside a character."""
     limit = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
-    raw = F.encode(c, "UTF-8")
-    prefixes = [F.substring(raw, F.lit(1), F.greatest(limit - back, F.lit(0))).cast("string") for back in range(4)]
-    whole = [F.when(F.is_valid_utf8(p), p) for p in prefixes]
-    return F.when(F.octet_length(c) <= limit, c).otherwise(F.coalesce(*whole))
+
+    def cut(x: Column) -> Column:
+        raw, most = F.encode(x["text"], "UTF-8"), x["most"]
+        prefixes = [F.substring(raw, F.lit(1), F.greatest(most - back, F.lit(0))).cast("string") for back in range(4)]
+        whole = [F.when(F.is_valid_utf8(p), p) for p in prefixes]
+        return F.when(F.octet_length(x["text"]) <= most, x["text"]).otherwise(F.coalesce(*whole))
+
+    return let(F.struct(c.alias("text"), limit.alias("most")), cut)
 
 
 def heading_prefixed(headings: Column, content: Column) -> Column:

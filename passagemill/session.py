@@ -48,5 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Tables of long texts, where the work per row is worth far more than moving the row once.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """A table of the folder; texts in fewer splits than there are cores are dealt out to all of them.
+
+    A table of cluster size has more splits than cores and is read where it lies.
+    """
+    table = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
