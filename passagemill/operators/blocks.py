@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import clean_paragraph, strip
-from passagemill.operators.spread import block_of, carry_last
+from passagemill.operators.spread import block_of, carry_last, unnest
 
 # Numbering patterns of heading levels 1 to 4, and the longest line taken for a heading.
 HEADING_PATTERNS = (
@@ -38,7 +38,7 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     becomes a block of its own. Narrow: no shuffle.
     """
     paras = F.transform(F.split(strip(F.col(text)), r"(?U)\n\s*\n", -1), strip)
-    rows = docs.select(key, F.posexplode(F.filter(paras, lambda p: p != "")).alias("_para", "_raw"))
+    rows = unnest(docs, [key], F.filter(paras, lambda p: p != ""), "_raw", "_para")
     rows = rows.withColumn("_lines", F.split("_raw", LINE_BREAK, -1))
     rows = rows.withColumn("_level", heading_level(F.col("_lines")[0]))
     is_heading = F.col("_level") > 0
@@ -52,8 +52,8 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when(is_heading, block("heading", F.col("_level"), strip(F.col("_lines")[0]))),
         F.when(body != "", block("paragraph", F.lit(0), body)),
     )
-    flat = rows.select(key, "_para", F.posexplode(parts).alias("_part", "_block")).where(F.col("_block").isNotNull())
-    return flat.select(key, (F.col("_para").cast("bigint") * 2 + F.col("_part")).alias("pos"), "_block.*")
+    flat = unnest(rows, [key, "_para"], parts, "_block", "_part").where(F.col("_block").isNotNull())
+    return flat.select(key, (F.col("_para") * 2 + F.col("_part")).alias("pos"), "_block.*")
 
 
 def heading_paths(blocks: DataFrame, key: str, levels: int = 6, sep: str = " > ") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.predicates import require
 from passagemill.functions.text import heading_prefixed, norm
 from passagemill.operators.encode import Encoder, encode, hashing_encoder
-from passagemill.operators.spread import dense_ids
+from passagemill.operators.spread import dense_ids, unnest
 from passagemill.operators.windows import append_pieces
 
 
@@ -69,19 +69,18 @@ def append_documents(
 
     ``documents`` is ``source, headings, category, version, text``, one row per source.
     """
-    doc = documents.select(
+    fields = [
         norm(F.col("source")).alias("source"),
         F.coalesce(F.nullif(norm(F.col("headings")), F.lit("")), norm(F.col("source"))).alias("headings"),
         norm(F.col("category")).alias("category"),
         norm(F.col("version")).alias("version"),
-        F.posexplode(append_pieces(F.col("text"), max_chars, overlap)).alias("chunk_id", "content"),
-    )
-    numbered = dense_ids(doc.withColumn("chunk_id", F.col("chunk_id").cast("bigint")), "source", "chunk_id", "_n")
+    ]
+    pieces = unnest(documents, fields, append_pieces(F.col("text"), max_chars, overlap), "content", "chunk_id")
+    numbered = dense_ids(pieces, "source", "chunk_id", "_n")
     last = F.coalesce(index.agg(F.max("vec_id")).scalar(), F.lit(-1))
     chunks = numbered.withColumn("vec_id", last + 1 + F.col("_n")).drop("_n")
     passages = chunks.withColumn("_passage", heading_prefixed(F.col("headings"), F.col("content")))
-    fields = [c for c in chunks.columns]
-    encoded = encode(passages, fields, "_passage", encoder)
+    encoded = encode(passages, chunks.columns, "_passage", encoder)
     return index.unionByName(encoded, allowMissingColumns=True)
 
 

@@ -23,22 +23,28 @@ def checked_qrels(qrels: DataFrame) -> DataFrame:
     return require(qrels, ok, "invalid qrels: need query and relevant ids")
 
 
-def hits_at(ranked: DataFrame, qrels: DataFrame, ks: list[int], keys: list[str] | None = None) -> DataFrame:
+def hits_at(
+    ranked: DataFrame, qrels: DataFrame, ks: list[int], keys: list[str] | None = None, runs: list[tuple] | None = None
+) -> DataFrame:
     """``keys, query_id, k, hit`` for every judged query, also those with nothing retrieved.
 
-    ``ranked`` is ``keys, query_id, id, rank``; ``qrels`` is ``query_id, id`` with one row per relevant id.
+    ``ranked`` is ``keys, query_id, id, rank``; ``qrels`` is ``query_id, id`` with one row
+    per relevant id. ``runs`` lists the values of ``keys`` when the caller knows them;
+    without it they are read off ``ranked``, which is then computed once more.
     """
     keys = keys or []
-    found = ranked.where(F.col("rank") <= max(ks)).join(qrels.select("query_id", "id").distinct(), ["query_id", "id"])
-    first = found.groupBy(*keys, "query_id").agg(F.min("rank").alias("first_rank"))
-    asked = qrels.select("query_id").distinct()
+    judged = qrels.select("query_id", "id")
     if keys:
-        runs = F.collect_set(F.struct(*keys))  # one entry per compared method
-        asked = asked.withColumn("_run", F.explode(ranked.agg(runs).scalar())).select("_run.*", "query_id")
-    judged = asked.join(first, [*keys, "query_id"], "left")
-    return judged.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks]))).select(
-        *keys, "query_id", "k", F.coalesce((F.col("first_rank") <= F.col("k")).cast("bigint"), F.lit(0).cast("bigint")).alias("hit")
-    )
+        if runs is not None:
+            known = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, run)]) for run in runs])
+        else:
+            known = ranked.agg(F.collect_set(F.struct(*keys))).scalar()  # one entry per compared method
+        judged = judged.withColumn("_run", F.explode(known)).select("_run.*", "query_id", "id")
+    near = ranked.where(F.col("rank") <= max(ks)).select(*keys, "query_id", "id", "rank")
+    first = judged.join(near, [*keys, "query_id", "id"], "left").groupBy(*keys, "query_id").agg(F.min("rank").alias("_first"))
+    hit = F.coalesce((F.col("_first") <= F.col("k")).cast("bigint"), F.lit(0).cast("bigint"))
+    cut = F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks]))
+    return first.withColumn("k", cut).select(*keys, "query_id", "k", hit.alias("hit"))
 
 
 def recall_at(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from passagemill.functions.text import CONTENT_LABEL, HEADING_LABEL, SOURCE_LABEL, labelled_passage
 from passagemill.functions.tokens import tokenize
 from passagemill.operators.encode import coverage_scorer
+from passagemill.operators.spread import unnest
 
 SCORE_DIGITS = 9  # ranks compare scores at this precision, ties go to the smaller id
 
@@ -43,43 +44,40 @@ def keyword_index(docs: DataFrame, id_col: str, text: Column) -> KeywordIndex:
     tokens = docs.select(F.col(id_col).alias("id"), tokenize(text).alias("_tokens"))
     tokens = tokens.withColumn("length", F.size("_tokens").cast("bigint"))
     # The tokens of one document lie together, so counting combines almost fully before the shuffle.
-    postings = (
-        tokens.select("id", "length", F.explode("_tokens").alias("term"))
-        .groupBy("id", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    words = unnest(tokens, ["id", "length"], F.col("_tokens"), "term")
+    postings = words.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     return KeywordIndex(postings, tokens.select("id", "length"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """``query_id, term, qtf``: a term asked twice counts twice."""
-    words = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term"))
+    words = unnest(queries, [F.col(query_id).alias("query_id")], tokenize(F.col(text)), "term")
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+BROADCAST_TERMS = 200_000  # (query, term) rows sent to every task at most, some megabytes
+
+
 def bm25_scores(index: KeywordIndex, asked: DataFrame, k1: float = 1.5, b: float = 0.75, salts: int = 16) -> DataFrame:
     """``query_id, id, score`` of every document that shares a term with a query.
 
     Only postings of asked terms take part: the semi join is pushed below the token
-    count. A frequent term is spread over ``salts`` join keys by document, with the
-    small query side repeated, so no task holds all documents of one term.
+    count. Up to ``BROADCAST_TERMS`` counted query terms travel to the postings, which
+    stay where they are. Beyond that both sides are shuffled by term, and a frequent
+    term is spread over ``salts`` keys by document, so no task holds all its documents.
     """
     wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
     weights = index.terms(wanted).select("term", "idf")
-    spread = (
-        asked.join(weights, "term")
-        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("_weight"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
+    weighted = asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("_weight"))
     mean = F.coalesce(F.nullif(index.lengths.agg(F.avg("length")).scalar(), F.lit(0.0)), F.lit(1.0))
     norm = k1 * (1 - b + b * F.col("length") / mean)
-    salted = wanted.select(
-        "id",
-        "term",
-        (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("_gain"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    hits = salted.join(spread, ["term", "_salt"])
+    gains = wanted.select("id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("_gain"))
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        hits = gains.join(F.broadcast(weighted), "term")
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        hits = gains.withColumn("_salt", salt).join(weighted.withColumn("_salt", every_salt), ["term", "_salt"])
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("_weight") * F.col("_gain")).alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import drop_blank_lines, let, strip
-from passagemill.operators.spread import quantiles
+from passagemill.operators.spread import quantiles, unnest
 
 
 def window_pieces(text: Column, max_chars: int, step: int) -> Column:
@@ -53,8 +53,7 @@ def append_pieces(text: Column, max_chars: int = 1000, overlap: int = 120) -> Co
 
 def as_chunks(docs: DataFrame, key: str, pieces: Column) -> DataFrame:
     """One row per piece: ``key, chunk_id, content``; ids restart at 0 in every document."""
-    rows = docs.select(key, F.posexplode(pieces).alias("_i", "content"))
-    return rows.select(key, F.col("_i").cast("bigint").alias("chunk_id"), "content")
+    return unnest(docs, [key], pieces, "content", "chunk_id").select(key, "chunk_id", "content")
 
 
 PROFILE_PROBS = {"p50": 0.50, "p90": 0.90, "p95": 0.95}

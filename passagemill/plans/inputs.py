@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.keys import hash_mod
 from passagemill.functions.text import let
 from passagemill.functions.tokens import tokenize
+from passagemill.operators.spread import unnest
 from passagemill.session import read_table
 
 GRAM = 4
@@ -36,7 +37,7 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     asked = items.select("item_id", F.col("text").alias("needle"), F.size(tokens).alias("_n"), let(tokens, lambda ts: gram(ts, F.lit(2))).alias("_gram"))
     long_enough = F.col("_n") >= GRAM + 2
     keyed = asked.where(long_enough).select("item_id", "_gram")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(let(tokens, all_grams))).alias("_gram"))
+    grams = unnest(docs, ["doc_id"], F.array_distinct(let(tokens, all_grams)), "_gram")
     # Only keys and ids are matched; the text is joined back to the few candidates.
     found = (
         grams.join(keyed, "_gram")
@@ -261,7 +262,7 @@ def generation_events(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations").where(F.col("role") == "assistant")
     rows = rows.select((F.col("conv_id") * TURNS + F.col("turn")).alias("request"), "text")
     parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
-    deltas = rows.select("request", F.posexplode(parts).alias("seq", "text"))
+    deltas = unnest(rows, ["request"], parts, "part", "seq").withColumnRenamed("part", "text")
     roll = hash_mod(50, "fate", F.col("request"))
     last = rows.where(roll != 1).select(
         "request",

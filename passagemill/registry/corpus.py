@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.keys import hash_mod
 
 from passagemill.operators import blocks, catalogue, chunkers, index, windows
+from passagemill.operators.spread import unnest
 from passagemill.plans import inputs
 from passagemill.registry import Registry, duck
 from passagemill.session import checkpoint_folder, read_table
@@ -155,7 +156,7 @@ def _pick(q: str) -> str:
 )
 def _c11(spark, folder):
     docs = _docs(spark, folder)
-    chunks = docs.select("source", F.explode(windows.overlapped(F.col("text"), 768, 120)).alias("content"))
+    chunks = unnest(docs, ["source"], windows.overlapped(F.col("text"), 768, 120), "content")
     return windows.length_profile(chunks, ["source"], "content", 768)
 
 
@@ -169,12 +170,8 @@ NUMBERED = (
 
 def _chunks(spark, folder):
     """Window chunks of every document with ``source`` = ``<source>/<doc_id>``, ``category`` = language."""
-    docs = _docs(spark, folder).select(
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"),
-        F.col("lang").alias("category"),
-        F.posexplode(windows.overlapped(F.col("text"), 768, 120)).alias("chunk_id", "content"),
-    )
-    return docs.withColumn("chunk_id", F.col("chunk_id").cast("bigint"))
+    fields = [F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), F.col("lang").alias("category")]
+    return unnest(_docs(spark, folder), fields, windows.overlapped(F.col("text"), 768, 120), "content", "chunk_id")
 
 
 @area.query("d1_assign_ids", duck.with_(*NUMBERED, select="SELECT source, chunk_id, vec_id FROM numbered"))

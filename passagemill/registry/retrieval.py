@@ -363,7 +363,7 @@ def _v4_methods(spark, folder):
     for method, ranked in legs.items():
         part = ranked.where(F.col("rank") <= 10).select(F.lit(method).alias("method"), "query_id", "id", "rank")
         runs = part if runs is None else runs.unionByName(part)
-    hits = V.hits_at(runs, inputs.qrels(spark, folder), V.report_ks(_KS, 10), ["method"])
+    hits = V.hits_at(runs, inputs.qrels(spark, folder), V.report_ks(_KS, 10), ["method"], [(m,) for m in legs])
     return V.recall_at(hits, ["method"]).withColumn("recall", F.round("recall", 6))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagemill.functions import keys, predicates, prompts, text, tokens
+from passagemill.operators.spread import unnest
 from passagemill.registry import Registry, duck
 from passagemill.session import read_table
 
@@ -204,7 +205,7 @@ def _t13(spark, folder):
     SELECT doc_id, token, count(*) AS n FROM p GROUP BY ALL""",
 )
 def _t14(spark, folder):
-    words = _docs(spark, folder).select("doc_id", F.explode(tokens.tokenize(F.col("text"))).alias("token"))
+    words = unnest(_docs(spark, folder), ["doc_id"], tokens.tokenize(F.col("text")), "token")
     return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 

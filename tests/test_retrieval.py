@@ -37,7 +37,10 @@ def brute(docs, query):
     return out
 
 
-def test_bm25(spark, corpus):
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_bm25(monkeypatch, spark, corpus, bound):
+    """With a small bound the query terms are joined by salted shuffle instead of broadcast."""
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", bound)
     docs, asked = corpus
     index = retrieve.keyword_index(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"))
     terms = retrieve.query_terms(spark.createDataFrame(asked, "query_id long, query string"), "query_id", "query")
