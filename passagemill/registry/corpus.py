@@ -269,7 +269,6 @@ def _s12_snapshot(spark, folder):
 
 # ---- catalogue -------------------------------------------------------------------------------
 
-_ts = "CAST(TIMESTAMP '2024-01-01' AS VARCHAR)"
 DAY = "timestamp'2024-01-01 00:00:00'"
 
 
@@ -371,7 +370,6 @@ def _d7(spark, folder):
     return _shown(catalogue.upsert(_catalogue(spark, folder), incoming, catalogue.FROM_UPLOAD, _now(), F.lit(42)))
 
 
-_CAT_COLUMNS = "id, title, category, source, version, tags, updated_by, ingest_source, ingest_key, cast(created AS bigint) AS created, cast(updated AS bigint) AS updated, is_deleted"
 
 
 @area.query(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import keyword_text
-from passagemill.functions.tokens import tokenize
 from passagemill.operators import encode as E
 from passagemill.operators import recall as V
 from passagemill.operators import retrieve as R
