@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import line_dedup, packing, topk
+from passagemill.llm import line_dedup, near_dedup, packing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,13 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", sha.alias("kept_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup)
     return {query.__name__: query for query in made}
 
 
