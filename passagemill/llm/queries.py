@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import line_dedup, near_dedup, packing, topk
+from passagemill.llm import line_dedup, near_dedup, packing, quality, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +44,14 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents")).select(
+        F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules)
     return {query.__name__: query for query in made}
 
 
