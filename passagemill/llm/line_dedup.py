@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import delete_path, hash_pair, shared_path
+from passagemill.llm.common import delete_path, hash_pair, shared_path, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,7 +127,8 @@ def dedup_lines(
     a store that already covers them.
     """
     runs = runs or build_runs(docs, batches, min_chars, fan_in, id_col, text_col)
-    common = runs.read().where(F.col("n") >= min_docs)
+    # A table of its own, so that Spark can split the partition of a line that very many documents share.
+    common = stored(runs.read().where(F.col("n") >= min_docs), "common-lines")
     held = key_rows(docs, F.col(id_col), F.col(text_col), min_chars)
     lost = held.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last_id")))
     lost = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
