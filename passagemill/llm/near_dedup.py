@@ -190,7 +190,8 @@ def similar_links(
     while True:
         order = F.struct(F.xxhash64("bucket", "id").alias("order"), "id")
         leaders = buckets.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
-        leaders = leaders.select("bucket", F.col("lead.id").alias("leader"))
+        # A table of its own, so that Spark can split the partition of a very large bucket.
+        leaders = stored(leaders.select("bucket", F.col("lead.id").alias("leader")), "bucket-leaders")
         held = buckets.join(leaders, "bucket").where(F.col("id") != F.col("leader"))
         held = stored(held.select("bucket", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "bucket-members")
         pairs = held.select("a", "b").distinct()
@@ -231,9 +232,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while True:
         both = now.union(now.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-lowest")
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "component-large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "component-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         then, new_path = kept(small)
         is_now = mark(then)
@@ -252,7 +254,7 @@ def near_duplicates(
     base = with_ids(docs, id_col, text_col)
     keyed = base.select("id", "h1", "h2", "text").mapInArrow(_signed(bands, rows, words, False), "id long, h1 long, h2 long, bands array<long>")
     keyed = stored(keyed, "bands")
-    copies = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    copies = stored(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
     members = keyed.join(copies, ["h1", "h2"])
     nodes = members.where(F.col("id") == F.col("rep")).select("id", "bands").dropDuplicates(["id", "bands"])
     links = similar_links(base, nodes, threshold, bands, rows, words)
