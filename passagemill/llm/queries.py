@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import line_dedup, near_dedup, packing, quality, topk
+from passagemill.llm import line_dedup, mixing, near_dedup, packing, quality, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +50,16 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.produced(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    likely = F.array_max(F.transform(F.map_entries("posterior"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("domain"))))
+    return out.select(
+        F.col("doc.doc_id").alias("doc_id"), "n_tokens", likely["domain"].alias("domain"), likely["p"].alias("domain_p"), "rate", "copies"
+    )
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules, op8_source_mixing)
     return {query.__name__: query for query in made}
 
 
