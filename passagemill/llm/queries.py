@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import line_dedup, mixing, near_dedup, packing, quality, topk
+from passagemill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,12 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("matches")
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules, op8_source_mixing)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules, op8_source_mixing, op9_license_scan)
     return {query.__name__: query for query in made}
 
 
