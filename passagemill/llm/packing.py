@@ -18,6 +18,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,44 +31,81 @@ from passagemill.llm.common import stored
 
 CAPACITY, END_ID = 4096, 1
 BLOCK = 8192
-#: Distinct words whose ids a task remembers; the memory starts anew beyond it.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; twice as many at most, since the older half stays readable.
+REMEMBERED = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+# Kinds of bytes: ASCII letters, first bytes of the Latin letters above ASCII, signs that end a word for the tokenizer.
+_LETTER, _LATIN, _SIGN = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN[0xC3:0xCA] = True
+_SIGN[list(b".,;:!?$&#%*()=+/-")] = True
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit integers, with a memory of words.
 
-    For tokenizers that drop white space and never join across it the ids of a text are
-    those of its words in a row. ``split`` says so; without it whole texts are encoded.
-    Words are cut at the plain space and the line break only; any other white space stays
-    inside and is left to the tokenizer.
+    For tokenizers that drop white space and lower-case, and never join a letter with a sign
+    after it, the ids of a text are those of its words and trailing signs in a row. ``split``
+    says so; without it whole texts are encoded. Words are cut at the plain space, the line
+    break and between a Latin letter and a sign only; anything else stays inside a word and is
+    left to the tokenizer. A text's new words are encoded in one call and told apart by the
+    tokens' places.
     """
 
-    def __init__(self, path: str, split: bool = True) -> None:
+    def __init__(self, path: str, split: bool = True, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.split, self.remembered = Tokenizer.from_file(path), split, remembered
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if not self.split:
             return self._ids([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, words))
-        if None in found:
-            fresh = list({w for w, ids in zip(words, found) if ids is None})
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-                fresh = list(set(words) - {""})
-            self.known.update(zip(fresh, self._ids(fresh)))
-            found = map(self.known.__getitem__, words)
-        return b"".join(found)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        if len(self.words) > self.remembered:
+            self.older, self.words = self.words, {b"": b""}
+        words = self._words(text.encode("utf-8", "replace"))
+        unseen = set(words).difference(self.words)
+        if unseen:
+            known = {w: self.older[w] for w in unseen if w in self.older}
+            self.words.update(known)
+            fresh = list(unseen.difference(known))
+            if fresh:
+                self.words.update(zip(fresh, self._ids([w.decode() for w in fresh])))
+        return b"".join(map(self.words.__getitem__, words))
+
+    @staticmethod
+    def _words(raw: bytes) -> list[bytes]:
+        # Not where a mark could join a small letter only, nor where special tokens might be spelled in capitals.
+        if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:
+            raw = raw.lower()
+        data = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(_SIGN[data])
+        at = at[at > 1]
+        if len(at):
+            last, first = data[at - 1], data[at - 2]
+            latin = (last >= 0x80) & _LATIN[first] & ~((first == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+            raw = np.insert(data, at[_LETTER[last] | latin], 32).tobytes()
+        return raw.replace(b"\n", b" ").split(b" ")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        raw = np.array(encoded.ids, "<u4").tobytes()
+        if len(words) == 1:
+            return [raw]
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        places = np.fromiter((start for start, _ in encoded.offsets), np.int64, len(encoded.ids))
+        ends = (4 * np.searchsorted(places, starts)).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+@functools.cache
+def word_ids(path: str, split: bool) -> WordIds:
+    """One per worker process: loading and learning are not repeated for each task."""
+    return WordIds(path, split)
 
 
 def tokenised(
@@ -80,7 +118,7 @@ def tokenised(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path, split_words)
+        words = word_ids(path, split_words)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []

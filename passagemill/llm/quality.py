@@ -124,14 +124,14 @@ def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def references(docs: DataFrame, least_docs: int = 20, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, ref_chars, ref_common``: the mean distributions of each language over all its documents."""
-    rows = histograms(docs, text_col, lang_col).select("lang", shares(F.col("chars")).alias("p"), shares(F.col("common")).alias("c"))
-    n_chars, n_common = 7, max(len(w) for w in COMMON_WORDS.values()) + 1
-    every = len({w for listed in COMMON_WORDS.values() for w in listed}) + 1
-    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(n_chars)]
-    means += [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(max(n_common, every))]
-    made = rows.where(F.col("p").isNotNull() & F.col("c").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *means)
-    common = F.filter(F.array(*[f"c{i}" for i in range(max(n_common, every))]), lambda x: x.isNotNull())
-    return made.where(F.col("n") >= least_docs).select("lang", F.array(*[f"p{i}" for i in range(n_chars)]).alias("ref_chars"), common.alias("ref_common"))
+    rows = histograms(docs, text_col, lang_col)
+    both = F.array(F.struct(shares(F.col("chars")).alias("x")), F.struct(shares(F.col("common")).alias("x")))
+    # One row per bin, so that a histogram is computed once and not once for each mean.
+    rows = rows.select("lang", F.posexplode(both).alias("which", "part")).select("lang", "which", F.posexplode("part.x").alias("bin", "share"))
+    means = rows.groupBy("lang", "which", "bin").agg(F.avg("share").alias("share"), F.count("*").alias("n"))
+    bins = lambda which: F.array_sort(F.collect_list(F.when(F.col("which") == which, F.struct("bin", "share"))))
+    made = means.groupBy("lang").agg(F.max("n").alias("n"), bins(0).alias("p"), bins(1).alias("c")).where(F.col("n") >= least_docs)
+    return made.select("lang", F.transform("p", lambda b: b["share"]).alias("ref_chars"), F.transform("c", lambda b: b["share"]).alias("ref_common"))
 
 
 def judged(
