@@ -11,10 +11,10 @@ against the signatures' estimate and then against the exact Jaccard similarity o
 shingle sets (``threshold``, 0.8 or more).
 
 Large groups. Byte-equal texts become one node first. In a bucket of equal band hashes
-every member is compared with one leader, chosen by a hash so that it differs from band
-to band; members that turn out not to be similar to it form the bucket of the next round,
-until no bucket has two. So a bucket of n copies costs n - 1 comparisons, not n squared,
-and nothing is dropped or capped. Classes are the connected components of the verified
+every member is compared with leaders, chosen by a hash so that they differ from band to
+band: one at first, and more for those members that are not similar to it, until no
+bucket has two members left. So a bucket of n near copies costs n - 1 comparisons, not n
+squared, and nothing is dropped or capped. Classes are the connected components of the verified
 links, found by alternating large-star and small-star contraction on stored tables.
 
 Defined results: words are separated by ASCII white space and compared in lower case; a
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import delete_path, hash_pair, shared_path, stored
@@ -40,6 +40,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^26 = 3e-5
 #: Below this estimate a pair is not compared exactly; at 0.8 the estimate of 130 registers has deviation 0.035.
 LEAST_ESTIMATE = 0.6
+#: By how much the leaders of a bucket become more from round to round.
+MORE_LEADERS = 4
 #: Shingles signed at a time, which bounds a task's memory.
 CHUNK = 150_000
 
@@ -179,37 +181,44 @@ def similar_links(
     base: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS,
     least: float = LEAST_ESTIMATE,
 ) -> DataFrame:
-    """``a, b, similarity``: verified links from ``nodes`` (``id, bands``) and ``base`` (``id, text``).
+    """``a, b, estimate, similarity``: verified links from ``nodes`` (``id, bands``) and ``base`` (``id, text``).
 
-    Rounds go on until no bucket has two members that are not similar to its leader.
+    Round by round, the members of a bucket are compared with its leaders, one in the first
+    round and ``MORE_LEADERS`` times as many in each that follows. Who is like none of them goes
+    on to the next round. It ends when no bucket has two members left, after a number of
+    rounds that is the logarithm of the number of unlike texts in one bucket.
     """
     spark = base.sparkSession
-    buckets = nodes.select("id", F.explode("bands").alias("bucket"))
-    links = spark.createDataFrame([], "a long, b long, similarity double")
-    done, texts = None, None
+    order = F.xxhash64("bucket", "id")
+    buckets = nodes.select("id", F.explode("bands").alias("bucket")).withColumn("order", order)
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    buckets = buckets.join(stored(several, "shared-buckets"), "bucket").select("bucket", "order", "id")
+    paths, texts, n_leaders = [], None, 1
     while True:
-        order = F.struct(F.xxhash64("bucket", "id").alias("order"), "id")
-        leaders = buckets.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
-        # A table of its own, so that Spark can split the partition of a very large bucket.
-        leaders = stored(leaders.select("bucket", F.col("lead.id").alias("leader")), "bucket-leaders")
-        held = buckets.join(leaders, "bucket").where(F.col("id") != F.col("leader"))
-        held = stored(held.select("bucket", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "bucket-members")
-        pairs = held.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        if held.isEmpty():
-            return links
+        buckets = stored(buckets, "bucket-members")
+        if buckets.isEmpty():
+            break
         if texts is None:  # later rounds only meet documents of the first
-            wanted = held.select(F.col("a").alias("id")).union(held.select("b")).distinct()
+            wanted = buckets.select("id").distinct()
             rows_ = base.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(
                 _signed(bands, rows, words, True), "id long, sig binary, shingles binary"
             )
             texts = stored(rows_, "candidate-shingles")
-        found = stored(verified_pairs(pairs, texts, bands, rows, least), "compared-pairs")
-        done = found if done is None else done.unionByName(found)
-        links = links.unionByName(found.where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
-        alike = done.where(F.col("similarity") >= threshold).select("a", "b").distinct()
-        buckets = held.join(alike, ["a", "b"], "left_anti").select("id", "bucket")
+        first = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id"))
+        leaders = buckets.withColumn("rank", first).where(F.col("rank") <= n_leaders)
+        # A table of its own, so that Spark can split the partition of a very large bucket.
+        leaders = stored(leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader")), "bucket-leaders")
+        held = buckets.join(leaders, "bucket").where(F.struct("order", "id") > F.struct("order0", "leader"))
+        held = stored(held.select("bucket", "order", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "compared-members")
+        found = verified_pairs(held.select("a", "b").distinct(), texts, bands, rows, least).where(F.col("similarity") >= threshold)
+        paths.append(shared_path(spark, "links"))
+        alike = stored(found, "links", paths[-1]).select("a", "b", F.lit(True).alias("alike"))
+        rest = held.join(alike, ["a", "b"], "left").groupBy("bucket", "order", "id").agg(F.max("alike").alias("alike")).where("alike is null")
+        led = leaders.select("bucket", F.col("leader").alias("id"))
+        buckets = rest.join(led, ["bucket", "id"], "left_anti").select("bucket", "order", "id")
+        n_leaders *= MORE_LEADERS
+    links = "a long, b long, estimate double, similarity double"
+    return spark.read.schema(links).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], links)
 
 
 def components(edges: DataFrame) -> DataFrame:
