@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, topk
+from passagemill.llm import html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).select(
         F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -62,8 +66,13 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("matches")
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op7_quality_rules, op8_source_mixing, op9_license_scan)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op7_quality_rules, op8_source_mixing, op9_license_scan, op10_html_extraction)
     return {query.__name__: query for query in made}
 
 
