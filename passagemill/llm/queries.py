@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk
+from passagemill.llm import html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, folder, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).select(
         F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -72,7 +77,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op7_quality_rules, op8_source_mixing, op9_license_scan, op10_html_extraction)
+    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op6_toxicity, op7_quality_rules, op8_source_mixing, op9_license_scan, op10_html_extraction)
     return {query.__name__: query for query in made}
 
 
