@@ -62,11 +62,15 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         placed = F.array_sort(F.transform(x, lambda h, i: F.struct(h.alias("x"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(x)) < F.size(x), let(placed, covered)).otherwise(0)
 
-    def of_hashes(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(h) - (window - 1))
-        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, F.lit(window)))), of_windows)
-
-    return F.when(F.size(words) > window, let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)).otherwise(0).cast("long")
+    def doubled(h: Column, width: int) -> Column:  # h: a hash of each run of `width` words
+        if width == window:
+            return of_windows(h)
+        n = F.size(h) - width
+        return let(F.zip_with(F.slice(h, 1, n), F.slice(h, width + 1, n), lambda a, b: F.xxhash64(a, b)), lambda x: doubled(x, 2 * width))
+
+    if window & (window - 1):
+        raise ValueError("the window must be a power of two")
+    return F.when(F.size(words) > window, let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1))).otherwise(0).cast("long")
 
 
 def char_classes(text: Column) -> Column:
