@@ -36,9 +36,13 @@ def documents_of(chunks: DataFrame, order: str = "vec_id") -> DataFrame:
     return grouped.select("ingest_key", "first.*", F.lit(None).cast("string").alias("version"), "tags")
 
 
-def upsert(catalogue: DataFrame, incoming: DataFrame, ingest_source: str, now: Column, updated_by: Column | None = None) -> DataFrame:
+def upsert(
+    catalogue: DataFrame, incoming: DataFrame, ingest_source: str, now: Column, updated_by: Column | None = None, last_id: Column | None = None
+) -> DataFrame:
     """Merge rows by ``ingest_key``: the incoming row wins and revives a deleted one, new rows get new ids.
 
+    New ids follow ``last_id``, the largest ever given; without it, the largest in the catalogue.
+
     ``incoming`` has one row per key and the catalogue fields it sets.
     """
     by = updated_by if updated_by is not None else F.lit(None)
@@ -61,7 +65,7 @@ def upsert(catalogue: DataFrame, incoming: DataFrame, ingest_source: str, now: C
         F.when(is_new, now).otherwise(F.col("old.updated_at")).alias("updated_at"),
         F.when(is_new, F.lit(False)).otherwise(F.col("old.is_deleted")).alias("is_deleted"),
     )
-    last = F.coalesce(catalogue.agg(F.max("id")).scalar(), F.lit(0))
+    last = F.coalesce(last_id if last_id is not None else catalogue.agg(F.max("id")).scalar(), F.lit(0))
     added = dense_ids(
         fresh.join(catalogue.select("ingest_key"), "ingest_key", "left_anti").select("ingest_key", F.lit(0).cast("bigint").alias("_p")),
         "ingest_key", "_p", "_n",
@@ -71,8 +75,12 @@ def upsert(catalogue: DataFrame, incoming: DataFrame, ingest_source: str, now: C
 
 
 def refresh(catalogue: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
-    """Full refresh from the index: earlier index rows go, rows entered otherwise stay, then upsert."""
-    return upsert(catalogue.where(F.col("ingest_source") != FROM_INDEX), documents, FROM_INDEX, now)
+    """Full refresh from the index: earlier index rows go, rows entered otherwise stay, then upsert.
+
+    The ids of removed rows are not given again.
+    """
+    kept = catalogue.where(F.col("ingest_source") != FROM_INDEX)
+    return upsert(kept, documents, FROM_INDEX, now, last_id=catalogue.agg(F.max("id")).scalar())
 
 
 def patch(rows: DataFrame, changes: DataFrame, key: str, fields: list[str], live: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.prompts import message_text, usage_fields
 from passagemill.functions.text import norm, strip
 from passagemill.functions.tokens import estimate_tokens
-from passagemill.operators.spread import computed_once, next_value
+from passagemill.operators.spread import computed_once, next_value, running_sum
 
 # Token limits of a prompt and the cost of a message beyond its text.
 PROMPT_TOKENS, REPLY_TOKENS, HISTORY_TOKENS, SAFETY_TOKENS, MESSAGE_COST = 4096, 1024, 2048, 128, 4
@@ -59,21 +59,19 @@ def history_budget(question: Column, system: Column, context: Column, reply_toke
     return F.least(F.lit(HISTORY_TOKENS), F.greatest(F.lit(0), PROMPT_TOKENS - fixed)).cast("bigint")
 
 
-def history_within(messages: DataFrame, budgets: DataFrame, most_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def history_within(messages: DataFrame, budgets: DataFrame) -> DataFrame:
     """The newest messages whose cost adds up to at most the conversation's ``budget``.
 
-    Every message costs at least ``MESSAGE_COST + 1``, so no more than ``most_tokens``
-    divided by that can fit; the per-conversation limit before the running sum is exact,
-    is applied in every task before the shuffle, and bounds what one task holds.
+    The running sum goes from the newest message back, in blocks of an hour, so a very long
+    conversation is summed by many tasks and no number of messages is presumed.
     """
     rows = computed_once(messages.select("conversation_id", "id", "created_at", "role", F.col("content").alias("_raw")), content=message_text(F.col("_raw")))
     rows = rows.drop("_raw").where(F.col("content") != "")
-    newest = Window.partitionBy("conversation_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    fitting = most_tokens // (MESSAGE_COST + 1)
-    near = rows.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= fitting)
-    costed = computed_once(near, cost=estimate_tokens(F.col("content")) + MESSAGE_COST)
-    running = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = costed.withColumn("used", F.sum("cost").over(running)).join(budgets.select("conversation_id", "budget"), "conversation_id")
+    costed = computed_once(rows, cost=estimate_tokens(F.col("content")) + MESSAGE_COST)
+    hour = F.floor(F.unix_timestamp("created_at") / 3600)
+    newest = [F.col("created_at").desc(), F.col("id").desc()]
+    summed = running_sum(costed, ["conversation_id"], newest, F.col("cost"), "used", -F.coalesce(hour, F.lit(-(2**40))))
+    used = summed.join(budgets.select("conversation_id", "budget"), "conversation_id")
     role = F.when(F.lower("role") == "assistant", F.lit("assistant")).otherwise(F.lit("user"))
     return used.where(F.col("used") <= F.col("budget")).select("conversation_id", "id", "created_at", role.alias("role"), "content", "cost", "used")
 

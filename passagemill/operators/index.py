@@ -52,10 +52,23 @@ def alignment_report(chunks: DataFrame, vectors: DataFrame, id_col: str = "vec_i
 
 
 def build_index(chunks: DataFrame, vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Chunks with their vectors; vectors of different lengths fail the job."""
+    """Chunks with their vectors, one to one.
+
+    The job fails on vectors of different lengths, on an id that either side has twice or
+    not at all, and on a chunk or vector without its partner.
+    """
     widest = vectors.agg(F.max(F.size("embedding"))).scalar()
     same = require(vectors.select(id_col, "embedding"), F.size("embedding") == widest, "embedding dimension mismatch")
-    return chunks.join(same, id_col)
+    # One row per id and side, carrying the first partner; the count tells whether there were more.
+    one = same.groupBy(id_col).agg(F.first("embedding").alias("embedding"), F.count("*").alias("_vectors"))
+    rest = [c for c in chunks.columns if c != id_col]
+    held = chunks.groupBy(id_col).agg(F.first(F.struct(*rest)).alias("_chunk"), F.count("*").alias("_chunks"))
+    both = held.join(one, F.equal_null(held[id_col], one[id_col]), "full_outer").select(
+        F.coalesce(held[id_col], one[id_col]).alias(id_col), "_chunk", "embedding", "_chunks", "_vectors"
+    )
+    both = require(both, F.col("_chunks").isNotNull() & F.col("_vectors").isNotNull() & F.col(id_col).isNotNull(), "chunks and vectors are not aligned")
+    both = require(both, (F.col("_chunks") == 1) & (F.col("_vectors") == 1), "duplicate vector ids")
+    return both.select(id_col, *[F.col("_chunk")[c].alias(c) for c in rest], "embedding").select(*chunks.columns, "embedding")
 
 
 def append_documents(

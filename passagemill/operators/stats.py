@@ -337,7 +337,9 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     sums = pairs.groupBy("metric").agg(
         F.count("*").alias("pairs"), F.avg("diff").alias("m"), F.stddev_samp("diff").alias("s"), F.count_if(F.abs("diff") >= 1e-12).alias("moved")
     )
-    return sums.select("metric", "pairs", "moved", (F.col("m") / F.nullif(F.col("s") / F.sqrt("pairs"), F.lit(0.0))).alias("t"))
+    # Equal differences have no spread: t is infinite with the sign of their mean.
+    t = F.when((F.col("s") == 0) & (F.col("m") != 0), F.signum("m") * F.lit(float("inf"))).otherwise(F.col("m") / F.nullif(F.col("s") / F.sqrt("pairs"), F.lit(0.0)))
+    return sums.select("metric", "pairs", "moved", t.alias("t"))
 
 
 def significance(pairs: DataFrame) -> DataFrame:

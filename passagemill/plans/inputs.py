@@ -62,13 +62,24 @@ def short_queries(spark: SparkSession, folder: str, words: int = 4) -> DataFrame
     return read_table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
 
 
+# Every document takes a given vector in turn, so that none is left without.
+VECTOR_OF_DOCUMENT = "doc_id % (SELECT count(*) FROM embeddings)"
+
+
+def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, embedding`` of every document."""
+    given = read_table(spark, folder, "embeddings")
+    turn = F.pmod("doc_id", given.agg(F.count("*")).scalar())
+    docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), turn.alias("vec_id"))
+    return docs.join(given.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+
+
 def vector_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, source, headings, content, embedding``: documents and vectors paired by id."""
+    """``id, source, headings, content, embedding``: all documents, each with its vector."""
     docs = read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), "source", F.col("lang").alias("headings"), F.col("text").alias("content")
     )
-    vectors = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return docs.join(vectors, "id")
+    return docs.join(document_vectors(spark, folder), "id")
 
 
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:

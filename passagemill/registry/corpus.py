@@ -196,10 +196,10 @@ def _index_chunks(spark, folder):
 
 
 def _vectors(spark, folder):
-    return read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return inputs.document_vectors(spark, folder).withColumnRenamed("id", "vec_id")
 
 
-_INDEX = "idx AS (SELECT doc_id AS vec_id, 0 AS chunk_id, source, lang AS category, lang AS headings, text AS content, embedding FROM documents JOIN embeddings ON doc_id = vec_id)"
+_INDEX = f"idx AS (SELECT doc_id AS vec_id, 0 AS chunk_id, source, lang AS category, lang AS headings, text AS content, embedding FROM documents JOIN embeddings ON {inputs.VECTOR_OF_DOCUMENT} = vec_id)"
 
 
 @area.query("d2_build_index", duck.with_(_INDEX, select="SELECT vec_id, source, content, len(embedding) AS dim FROM idx"))
@@ -257,7 +257,7 @@ def _d4_report(spark, folder):
     FROM documents FULL JOIN embeddings ON doc_id = vec_id""",
 )
 def _s12(spark, folder):
-    return index.alignment_report(_index_chunks(spark, folder), _vectors(spark, folder))
+    return index.alignment_report(_index_chunks(spark, folder), read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
 @area.query("s12_snapshot", duck.with_(_INDEX, select="SELECT vec_id, source, content FROM idx"))
@@ -346,7 +346,7 @@ def _merged(old: str, incoming_source: str, keep_by: bool) -> str:
     by = "o.updated_by" if keep_by else "CASE WHEN n.ingest_key IS NOT NULL THEN 42 ELSE o.updated_by END"
     return f"""WITH_OLD AS (SELECT * FROM {old}),
     added AS (SELECT ingest_key, row_number() OVER (ORDER BY sha1(ingest_key), ingest_key) AS rn FROM incoming WHERE ingest_key NOT IN (SELECT ingest_key FROM WITH_OLD)),
-    merged AS (SELECT coalesce(o.id, (SELECT max(id) FROM WITH_OLD) + a.rn) AS id,
+    merged AS (SELECT coalesce(o.id, (SELECT max(id) FROM cat) + a.rn) AS id,
       CASE WHEN n.ingest_key IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.ingest_key IS NOT NULL THEN n.category ELSE o.category END AS category,
       coalesce(n.source, o.source) AS source, CASE WHEN n.ingest_key IS NOT NULL THEN NULL ELSE o.version END AS version,
       coalesce(n.tags, o.tags, '') AS tags, cast({by} AS bigint) AS updated_by, CASE WHEN n.ingest_key IS NOT NULL THEN '{incoming_source}' ELSE o.ingest_source END AS ingest_source,

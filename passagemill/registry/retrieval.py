@@ -19,7 +19,7 @@ area = Registry()
 
 ASKED = f"asked AS (SELECT item_id AS query_id, array_to_string({duck.tokens('text')}[1:4], ' ') AS query FROM benchmark)"
 PASSAGES = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
-CHUNKS = "chunks AS (SELECT doc_id AS id, source, lang AS headings, text AS content, embedding FROM documents JOIN embeddings ON doc_id = vec_id)"
+CHUNKS = f"chunks AS (SELECT doc_id AS id, source, lang AS headings, text AS content, embedding FROM documents JOIN embeddings ON {inputs.VECTOR_OF_DOCUMENT} = vec_id)"
 QREL = "qrel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 DENSE = (
     "qvec AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)",

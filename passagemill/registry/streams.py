@@ -125,13 +125,24 @@ def _s3(spark, folder):
     return files.inventory(spark, folder, ("parquet",), "E").select("name", "path", "ext", "size")
 
 
-@area.query("s2_decoded_texts", rf"""SELECT doc_id, {duck.newlines('text')} AS text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]') OR doc_id % 2 = 0""")
+_IN_GBK = r"[^\x00-\x7fáàéèêíìóòúùü]"
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_gbk(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else text.encode("gbk"))
+
+
+@area.query(
+    "s2_decoded_texts",
+    f"SELECT doc_id, {duck.newlines('t')} AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '{_IN_GBK}', '', 'g') END AS t FROM documents)",
+)
 def _s2(spark, folder):
-    """UTF-8 bytes for even ids; Latin-1 bytes for odd ones, which are UTF-8 only when they are ASCII."""
+    """UTF-8 bytes for even ids; GBK bytes, of the letters that GBK has, for odd ones."""
     docs = read_table(spark, folder, "documents")
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.regexp_replace("text", "[^\\x00-\\xff]", "?"), "ISO-8859-1"))
-    plain = (F.col("doc_id") % 2 == 0) | ~F.regexp_like("text", F.lit("[^\\x00-\\x7f]"))
-    return files.decoded(docs.where(plain).select("doc_id", content.alias("content")))
+    even = F.col("doc_id") % 2 == 0
+    other = _as_gbk(F.when(~even, F.regexp_replace("text", _IN_GBK, "")))
+    return files.decoded(docs.select("doc_id", F.when(even, F.encode("text", "UTF-8")).otherwise(other).alias("content")))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -156,7 +167,7 @@ def _zipped(a: pd.Series, b: pd.Series) -> pd.Series:
 def _s13(spark, folder):
     docs = read_table(spark, folder, "documents")
     made = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), _zipped("text", "source").alias("content"))
-    return archives.archive_texts(archives.archive_members(made))
+    return archives.archive_texts(archives.archive_members(made)).drop("path")
 
 
 @area.query("s10_unextracted", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0")

@@ -31,23 +31,23 @@ def build_session(master: str | None = None, app: str = "passagemill", **conf: s
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's own setting, or a fresh local one in tests."""
+    """Shared folder for stored intermediate tables: the cluster's own setting, or a fresh one in local mode.
+
+    On a cluster a folder of the driver's machine would leave every executor with its own part,
+    so there the setting must be made.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="passagemill-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 # Tables of long texts, where the work per row is worth far more than moving the row once.
 TEXT_TABLES = ("documents", "pages", "conversations")
 

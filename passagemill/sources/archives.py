@@ -35,15 +35,16 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """``archive, place, member, text`` of the kept members of ZIP files ``path, content``; one member at a time."""
+    """``path, archive, place, member, text`` of the kept members of ZIP files ``path, content``; one member at a time."""
     members = files.select("path", "content").mapInPandas(_unzip, "archive string, place int, member string, text string")
-    return members.where(F.regexp_like("member", F.lit(KEPT_SUFFIXES))).withColumn("archive", file_name(F.col("archive")))
+    kept = members.where(F.regexp_like("member", F.lit(KEPT_SUFFIXES))).withColumnRenamed("archive", "path")
+    return kept.select("path", file_name(F.col("path")).alias("archive"), "place", "member", "text")
 
 
 def archive_texts(members: DataFrame) -> DataFrame:
-    """``archive, text``: running-text members of each archive joined by blank lines, in archive order."""
+    """``path, archive, text``: running-text members of each archive joined by blank lines, in archive order."""
     rows = members.where(F.regexp_like("member", F.lit(TEXT_SUFFIXES)) & (strip(F.col("text")) != ""))
     rows = rows.withColumn("text", strip(F.col("text")))
-    return ordered_concat(rows, ["archive"], ["place"], "text", "text_joined", F.floor(F.col("place") / 64), "\n\n").withColumnRenamed(
+    return ordered_concat(rows, ["path", "archive"], ["place"], "text", "text_joined", F.floor(F.col("place") / 64), "\n\n").withColumnRenamed(
         "text_joined", "text"
     )

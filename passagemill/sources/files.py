@@ -23,12 +23,13 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def relative_to(path: Column, root: str) -> Column:
     base = root.rstrip("/") + "/"
-    return F.when(F.contains(path, F.lit(base)), F.substring_index(path, base, -1)).otherwise(path)
+    at = F.locate(base, path)
+    return F.when(at > 0, F.substring(path, at + len(base), F.length(path))).otherwise(path)
 
 
 @F.pandas_udf(T.StringType())
 def _decode_gbk(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: raw.decode("gbk", errors="replace"))
+    return content.map(lambda raw: None if raw is None else raw.decode("gbk", errors="replace"))
 
 
 
@@ -42,9 +43,9 @@ def decoded(files: DataFrame) -> DataFrame:
     """``content`` as ``text``: UTF-8, else GBK with replacement characters. Only the rest reaches Python."""
     keys = [c for c in files.columns if c != "content"]
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    good = files.where(valid).select(*keys, unify_newlines(F.col("content").cast("string")).alias("text"))
-    bad = files.where(~valid).select(*keys, unify_newlines(_decode_gbk(F.col("content"))).alias("text"))
-    return good.unionByName(bad)
+    # Files are read once; Python gets the bytes of the others only.
+    rest = _decode_gbk(F.when(~valid, F.col("content")))
+    return files.select(*keys, unify_newlines(F.when(valid, F.col("content").cast("string")).otherwise(rest)).alias("text"))
 
 
 def inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("pdf", "txt"), keyword: str = "") -> DataFrame:

@@ -87,9 +87,14 @@ class ChangingIndex:
 
 
 def follow(changes: DataFrame, index: ChangingIndex, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run the stream of changes into the index; a batch replayed after a failure is applied once."""
+    """Run the stream of changes into the index; a batch replayed after a failure is applied once.
+
+    A batch is known by the id that its stream's checkpoint gives it and its number, so streams
+    that start anew, or run beside each other, do not take each other's batches for replays.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        index.apply(rows, f"batch-{number}")
+        stream = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        index.apply(rows, f"{stream}-{number}")
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
