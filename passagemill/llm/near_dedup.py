@@ -13,8 +13,8 @@ shingle sets (``threshold``, 0.8 or more).
 Large groups. Byte-equal texts become one node first. In a bucket of equal band hashes
 every member is compared with leaders, chosen by a hash so that they differ from band to
 band: one at first, and more for those members that are not similar to it, until no
-bucket has two members left. So a bucket of n near copies costs n - 1 comparisons, not n
-squared, and nothing is dropped or capped. Classes are the connected components of the verified
+bucket has members of two classes left. So a bucket of n near copies costs about n
+comparisons, not n squared, and nothing is dropped or capped. Classes are the connected components of the verified
 links, found by alternating large-star and small-star contraction on stored tables.
 
 Defined results: words are separated by ASCII white space and compared in lower case; a
@@ -40,6 +40,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^26 = 3e-5
 #: Below this estimate a pair is not compared exactly; at 0.8 the estimate of 130 registers has deviation 0.035.
 LEAST_ESTIMATE = 0.6
+LINKS = "a long, b long, estimate double, similarity double"
 #: By how much the leaders of a bucket become more from round to round.
 MORE_LEADERS = 4
 #: Shingles signed at a time, which bounds a task's memory.
@@ -185,17 +186,18 @@ def similar_links(
 
     Round by round, the members of a bucket are compared with its leaders, one in the first
     round and ``MORE_LEADERS`` times as many in each that follows. Who is like none of them goes
-    on to the next round. It ends when no bucket has two members left, after a number of
-    rounds that is the logarithm of the number of unlike texts in one bucket.
+    on to the next round. Members that the links so far have already put into one class are not
+    compared again, so the result has every link that joins classes but not every pair inside
+    one. It ends when no bucket has members of two classes left, after a number of rounds that
+    is the logarithm of the number of unlike texts in one bucket.
     """
     spark = base.sparkSession
-    order = F.xxhash64("bucket", "id")
-    buckets = nodes.select("id", F.explode("bands").alias("bucket")).withColumn("order", order)
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    buckets = buckets.join(stored(several, "shared-buckets"), "bucket").select("bucket", "order", "id")
+    buckets = nodes.select("id", F.explode("bands").alias("bucket")).withColumn("order", F.xxhash64("bucket", "id"))
+    buckets = buckets.select("bucket", "order", "id", F.col("id").alias("root"))
     paths, texts, n_leaders = [], None, 1
     while True:
-        buckets = stored(buckets, "bucket-members")
+        several = buckets.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        buckets = stored(buckets.join(stored(several, "open-buckets"), "bucket"), "bucket-members")
         if buckets.isEmpty():
             break
         if texts is None:  # later rounds only meet documents of the first
@@ -207,18 +209,23 @@ def similar_links(
         first = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id"))
         leaders = buckets.withColumn("rank", first).where(F.col("rank") <= n_leaders)
         # A table of its own, so that Spark can split the partition of a very large bucket.
-        leaders = stored(leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader")), "bucket-leaders")
-        held = buckets.join(leaders, "bucket").where(F.struct("order", "id") > F.struct("order0", "leader"))
-        held = stored(held.select("bucket", "order", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "compared-members")
+        leaders = leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader"), F.col("root").alias("root0"))
+        leaders = stored(leaders, "bucket-leaders")
+        led = leaders.select("bucket", F.col("leader").alias("id"))
+        members = buckets.join(led, ["bucket", "id"], "left_anti")
+        later = F.struct(buckets["order"], buckets["id"]) > F.struct("order0", "leader")
+        held = buckets.join(leaders, (buckets["bucket"] == leaders["bucket"]) & later & (F.col("root") != F.col("root0")))
+        held = held.select(buckets["bucket"], "order", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        held = stored(held, "compared-members")
         found = verified_pairs(held.select("a", "b").distinct(), texts, bands, rows, least).where(F.col("similarity") >= threshold)
         paths.append(shared_path(spark, "links"))
-        alike = stored(found, "links", paths[-1]).select("a", "b", F.lit(True).alias("alike"))
-        rest = held.join(alike, ["a", "b"], "left").groupBy("bucket", "order", "id").agg(F.max("alike").alias("alike")).where("alike is null")
-        led = leaders.select("bucket", F.col("leader").alias("id"))
-        buckets = rest.join(led, ["bucket", "id"], "left_anti").select("bucket", "order", "id")
+        alike = stored(found, "links", paths[-1]).select("a", "b").distinct()
+        settled = held.join(alike, ["a", "b"], "left_semi").select("bucket", "id").distinct()
+        rest = members.drop("root").join(settled, ["bucket", "id"], "left_anti")
+        roots = stored(components(spark.read.schema(LINKS).parquet(*paths)), "roots-so-far")
+        buckets = rest.join(roots, "id", "left").select("bucket", "order", "id", F.coalesce("root", "id").alias("root"))
         n_leaders *= MORE_LEADERS
-    links = "a long, b long, estimate double, similarity double"
-    return spark.read.schema(links).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], links)
+    return spark.read.schema(LINKS).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], LINKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
