@@ -366,7 +366,10 @@ def training_texts(pages: list[str]) -> tuple[list[list[str]], list[str]]:
 def trained(pages: DataFrame, html_col: str = "html", most_pages: int = MOST_PAGES, seed: int = 7) -> TreeModel:
     """A model from layouts over a sample of ``most_pages`` pages, those with the smallest hashes of moderate size."""
     fit_size = pages.where((F.length(html_col) > 0) & (F.length(html_col) < 20_000)).select(F.col(html_col).alias("html"))
-    sample = [r["html"] for r in fit_size.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()]
+    # Hashes are sorted and not pages, so that no task sends more than `most_pages` numbers.
+    least = [r["h"] for r in fit_size.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(most_pages).collect()]
+    picked = fit_size.where(F.xxhash64("html").isin(least)).distinct() if least else fit_size.limit(0)
+    sample = sorted(r["html"] for r in picked.collect())
     return fit(layouts(*training_texts(sample), seed))
 
 
