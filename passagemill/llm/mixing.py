@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.text import let
 from passagemill.llm.common import stored
-from passagemill.llm.quality import words_of
+from passagemill.llm.quality import listed_counts, words_of
 
 MOST_LABELLED, WORDS_PER_DOMAIN, MOST_DOMAINS = 20_000, 12, 16
 EVIDENCE = 40.0  # words that count fully; longer texts keep their averages, since words are not independent
@@ -46,9 +46,6 @@ class DomainTable:
     def posterior(self, words: Column, evidence: float = EVIDENCE) -> Column:
         """Posterior over ``domains`` of an array of words, kept to 1/100."""
 
-        def counted(padded: Column) -> Column:
-            return F.array(*[(F.octet_length(padded) - F.octet_length(F.replace(padded, F.lit(f" {w} ")))) / (len(w.encode()) + 2) for w in self.words])
-
         def scored(c: Column) -> Column:
             n = F.size(words).cast("double")
             rest = n - F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -63,8 +60,7 @@ class DomainTable:
             raised = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
             return let(raised, lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y), 2)))
 
-        padded = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
-        return let(let(padded, counted), scored)
+        return let(listed_counts(words, self.words), scored)
 
 
 def learned(
@@ -141,24 +137,26 @@ def fitted_steps(cells: DataFrame, domains: list[str], weights: dict[str, float]
 
 def mixed(
     docs: DataFrame, labelled_ids: DataFrame, weights: dict[str, float], domain: str = "lang", least_rate: float = 0.0, keep_all: bool = False,
-    id_col: str = "doc_id", text_col: str = "text", seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", seed: int = 0, columns: list[str] | None = None,
 ) -> DataFrame:
-    """``doc, n_tokens, posterior`` (map by domain), ``rate, copies``.
+    """``doc, n_tokens, posterior`` (map by domain), ``rate, copies``; ``doc`` has the given ``columns``, or all.
 
+    Documents are scored once and stored with their posteriors, which the sums then read alone.
     ``copies`` is the rate rounded up or down by a hash of the id and the text, so that its expectation is the rate.
     """
     table = learned(docs, labelled_ids, domain, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.struct("*").alias("doc"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1_000_003)) / 1_000_003.0
+    words = words_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*(columns or docs.columns)).alias("doc"), draw.alias("draw"), words.alias("words"))
     domains = table.domains if table else []
     posterior = table.posterior(F.col("words")) if table else F.array().cast("array<double>")
-    rows = rows.select("doc", F.size("words").cast("long").alias("n_tokens"), posterior.alias("posterior"))
+    rows = stored(rows.select("doc", "draw", F.size("words").cast("long").alias("n_tokens"), posterior.alias("posterior")), "posteriors")
     steps: list[list[float]] = []
     if table:
         cells = stored(rows.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")), "posterior-cells")
         steps = fitted_steps(cells, domains, weights, least_rate, keep_all)
     rows = rows.withColumn("rate", rate_of(F.col("posterior"), steps, least_rate))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc")[id_col], F.col("doc")[text_col]), F.lit(1_000_003)) / 1_000_003.0
-    copies = F.floor(F.col("rate")) + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor(F.col("rate")) + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     names = F.array(*[F.lit(d) for d in domains]).cast("array<string>")
     return rows.select("doc", "n_tokens", F.map_from_arrays(names, F.col("posterior")).alias("posterior"), "rate", copies.cast("long").alias("copies"))
 
@@ -167,9 +165,9 @@ def mixed(
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 
 
-def produced(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def produced(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``mixed`` with the production parameters."""
-    return mixed(docs, labels, TARGETS, least_rate=1.0, keep_all=True)
+    return mixed(docs, labels, TARGETS, least_rate=1.0, keep_all=True, columns=columns)
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:

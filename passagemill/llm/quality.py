@@ -87,16 +87,24 @@ def char_classes(text: Column) -> Column:
     return step(text, patterns, [])
 
 
+def listed_counts(words: Column, listed: list[str]) -> Column:
+    """How often each of the lower-case words ``listed`` stands in ``words``, as written, capitalised or in capitals."""
+    forms = sorted({form for w in listed for form in (w, w.capitalize(), w.upper())})
+
+    def counts(padded: Column) -> Column:
+        return F.array(*[(F.octet_length(padded) - F.octet_length(F.replace(padded, F.lit(f" {w} ")))) / (len(w.encode()) + 2) for w in listed])
+
+    # Only the listed words go on, which are few; two spaces between them, so that neighbours share none.
+    few = F.filter(words, lambda w: w.isin(forms))
+    return let(F.lower(F.concat(F.lit(" "), F.array_join(few, "  "), F.lit(" "))), counts)
+
+
 def common_counts(words: Column, lang: Column) -> Column:
     """Counts of the language's common words and, last, of all other words."""
 
     def of_list(listed: list[str]) -> Column:
-        def counts(padded: Column) -> Column:
-            each = [(F.octet_length(padded) - F.octet_length(F.replace(padded, F.lit(f" {w} ")))) / (len(w.encode()) + 2) for w in listed]
-            return let(F.array(*each), lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
-
-        # Two spaces between words, so that neighbours share none.
-        return let(F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))), counts)
+        rest = lambda c: F.array(F.size(words) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+        return let(listed_counts(words, listed), lambda c: F.concat(c, rest(c)))
 
     every = sorted({w for listed in COMMON_WORDS.values() for w in listed})
     out = of_list(every)

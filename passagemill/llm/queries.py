@@ -60,7 +60,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    out = mixing.produced(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    out = mixing.produced(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
     likely = F.array_max(F.transform(F.map_entries("posterior"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("domain"))))
     return out.select(
         F.col("doc.doc_id").alias("doc_id"), "n_tokens", likely["domain"].alias("domain"), likely["p"].alias("domain_p"), "rate", "copies"
