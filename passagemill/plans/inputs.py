@@ -253,13 +253,13 @@ def judge_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blind_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, question, base, dpo``: each message with two answers cut from its text."""
+    """``id, question, base, dpo``: each message with its text and the second half of it as two answers."""
     rows = read_table(spark, folder, "conversations")
     return rows.select(
         (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
-        F.left("text", F.lit(60)).alias("question"),
-        F.concat(F.lit("a "), F.left("text", F.lit(200))).alias("base"),
-        F.concat(F.lit("b "), F.right("text", F.lit(200))).alias("dpo"),
+        F.col("text").alias("question"),
+        F.concat(F.lit("a "), "text").alias("base"),
+        F.concat(F.lit("b "), F.right("text", F.floor(F.length("text") / 2).cast("int"))).alias("dpo"),
     )
 
 

@@ -165,14 +165,14 @@ def _samples(spark, folder):
             F.lit("better").alias("reason"),
         )
     )
-    question = F.when(hash_mod(30, "blank", n) == 0, " ").otherwise(F.left("question", F.lit(80)))
+    question = F.when(hash_mod(30, "blank", n) == 0, " ").otherwise(F.col("question"))
     return rows.select(
         "position",
-        F.concat(F.lit(QUESTION_MARK), F.left("question", F.lit(80))).alias("prompt"),
+        F.concat(F.lit(QUESTION_MARK), F.col("question")).alias("prompt"),
         question.alias("question"),
         F.lit("").alias("context"),
         F.col("reply").alias("chosen"),
-        F.when(hash_mod(25, "none", n) == 0, "").otherwise(F.left("reply", F.lit(100))).alias("rejected"),
+        F.when(hash_mod(25, "none", n) == 0, "").otherwise(F.col("reply")).alias("rejected"),
         F.lit("ref").alias("source_answer"),
         (hash_mod(1000, "sim", n) / 1000.0).alias("similarity"),
         F.when(hash_mod(20, "bad", n) == 0, F.lit("oops")).otherwise(F.concat(F.lit("> "), reply)).alias("judge_raw"),
@@ -181,19 +181,19 @@ def _samples(spark, folder):
 
 def _done(spark, folder):
     asked = inputs.turn_pairs(spark, folder).where(hash_mod(10, "done", F.col("id")) == 0)
-    return asked.select(F.concat(F.lit(f" {QUESTION_MARK}"), F.left("question", F.lit(80))).alias("prompt"))
+    return asked.select(F.concat(F.lit(f" {QUESTION_MARK}"), F.col("question")).alias("prompt"))
 
 
 GATED = (
     _pairs(1, "turns"),
     "copies AS (SELECT *, unnest([0, 1, 2]) AS copy FROM turns)",
     "placed AS (SELECT *, id * 3 + copy AS position FROM copies)",
-    f"""samples AS (SELECT position, '{QUESTION_MARK}' || left(question, 80) AS prompt, {duck.hash_mod(30, _q('blank'), 'position')} = 0 AS blank, reply, left(question, 80) AS question,
+    f"""samples AS (SELECT position, '{QUESTION_MARK}' || question AS prompt, {duck.hash_mod(30, _q('blank'), 'position')} = 0 AS blank, reply, question AS question,
       {duck.hash_mod(25, _q('none'), 'position')} = 0 AS none, {duck.hash_mod(1000, _q('sim'), 'position')} / 1000.0::double AS sim, {duck.hash_mod(20, _q('bad'), 'position')} = 0 AS bad,
       {duck.hash_mod(6, _q('win'), 'position')} = 0 AS b_wins, {duck.hash_mod(5, _q('sa'), 'position')} + 6 AS sa, {duck.hash_mod(4, _q('sb'), 'position')} + 5 AS sb FROM placed)""",
     """own AS (SELECT *, CASE WHEN none THEN 'empty_chosen_or_rejected' WHEN sim >= 0.92 THEN 'similarity_too_high' WHEN bad THEN 'judge_json_parse_failed'
       WHEN b_wins THEN 'judge_winner_not_A' WHEN sa < 7 THEN 'chosen_score_too_low' WHEN sa - sb < 2 THEN 'score_gap_too_small' ELSE 'kept' END AS own FROM samples)""",
-    f"done AS (SELECT DISTINCT {duck.strip(f'{_q(QUESTION_MARK)} || left(question, 80)')} AS prompt FROM turns WHERE {duck.hash_mod(10, _q('done'), 'id')} = 0)",
+    f"done AS (SELECT DISTINCT {duck.strip(f'{_q(QUESTION_MARK)} || question')} AS prompt FROM turns WHERE {duck.hash_mod(10, _q('done'), 'id')} = 0)",
     """gated AS (SELECT *, CASE WHEN blank THEN 'empty_question' WHEN prompt IN (SELECT prompt FROM done)
       OR EXISTS (SELECT 1 FROM own e WHERE e.prompt = o.prompt AND e.position < o.position AND e.own = 'kept' AND NOT e.blank) THEN 'resume_duplicate_prompt' ELSE own END AS reason FROM own o)""",
 )
@@ -245,7 +245,7 @@ _levels = "[" + ", ".join(f"'{d}'" for d in curate.DIFFICULTIES) + "]"
     "p12_template_questions",
     duck.with_(
         MESSAGES,
-        "templates AS (SELECT role AS topic, left(text, 30) || ' {age} {bp} {drug} {fbg} {hba1c} {ldl}?' AS template, id AS position FROM msgs WHERE turn = 1)",
+        "templates AS (SELECT role AS topic, text || ' {age} {bp} {drug} {fbg} {hba1c} {ldl}?' AS template, id AS position FROM msgs)",
         f"made AS (SELECT topic, {duck.strip(_fill)} AS question, position FROM templates)",
         "firsts AS (SELECT question, arg_min(topic, position) AS topic FROM made GROUP BY question)",
         "rounds AS (SELECT topic, question, unnest(range(cast(ceil(120 / (SELECT count(*) FROM firsts)) AS bigint))) AS round FROM firsts)",
@@ -255,10 +255,10 @@ _levels = "[" + ", ".join(f"'{d}'" for d in curate.DIFFICULTIES) + "]"
     ),
 )
 def _p12(spark, folder):
-    rows = read_table(spark, folder, "conversations").where(F.col("turn") == 1)
+    rows = read_table(spark, folder, "conversations")
     templates = rows.select(
         F.col("role").alias("topic"),
-        F.concat(F.left("text", F.lit(30)), F.lit(" {age} {bp} {drug} {fbg} {hba1c} {ldl}?")).alias("template"),
+        F.concat(F.col("text"), F.lit(" {age} {bp} {drug} {fbg} {hba1c} {ldl}?")).alias("template"),
         (F.col("conv_id") * inputs.TURNS + F.col("turn")).alias("position"),
     )
     return curate.questions_from_templates(templates, 120, 42)
@@ -289,7 +289,7 @@ def _p13(spark, folder):
     duck.with_(
         _pairs(1, "turns"),
         f"""v AS (SELECT CASE WHEN id % 3 = 0 THEN '{QUESTION_MARK}' || {duck.strip('question')} || chr(10) || chr(10) || '{CONTEXT_MARK}' || chr(10) || {duck.strip('reply')} ELSE {duck.strip('question')} END AS prompt,
-          {duck.strip('reply')} AS chosen, CASE WHEN id % 5 = 0 THEN '' ELSE {duck.strip('left(reply, 50)')} END AS rejected FROM turns)""",
+          {duck.strip('reply')} AS chosen, CASE WHEN id % 5 = 0 THEN '' ELSE {duck.strip('right(reply, length(reply) // 2)')} END AS rejected FROM turns)""",
         select="SELECT prompt, chosen, rejected FROM v WHERE prompt <> '' AND chosen <> '' AND rejected <> ''",
     ),
 )
@@ -298,7 +298,7 @@ def _p14(spark, folder):
     return curate.training_view(
         rows.select(
             F.when(F.col("id") % 3 != 0, F.col("question")).alias("prompt"), "question", F.col("reply").alias("context"),
-            F.col("reply").alias("chosen"), F.when(F.col("id") % 5 != 0, F.left("reply", F.lit(50))).alias("rejected"),
+            F.col("reply").alias("chosen"), F.when(F.col("id") % 5 != 0, F.right("reply", F.floor(F.length("reply") / 2).cast("int"))).alias("rejected"),
         )
     )
 

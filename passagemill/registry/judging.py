@@ -116,7 +116,7 @@ def _e4(spark, folder):
 
 PAIRS = (
     MESSAGES,
-    "pairs AS (SELECT id, left(text, 60) AS question, 'a ' || left(text, 200) AS base, 'b ' || right(text, 200) AS dpo FROM msgs)",
+    "pairs AS (SELECT id, text AS question, 'a ' || text AS base, 'b ' || right(text, length(text) // 2) AS dpo FROM msgs)",
     f"""blind AS (SELECT id, question, CASE WHEN h THEN base ELSE dpo END AS A, CASE WHEN h THEN dpo ELSE base END AS B, h
       FROM (SELECT *, {duck.hash_mod(2, _q('42'), 'id')} = 0 AS h FROM pairs))""",
 )
@@ -131,7 +131,7 @@ def _a1(spark, folder):
     return shown.join(key.select("id", F.col("A").alias("key_a")), "id")
 
 
-_REFS = f"""refs AS (SELECT CASE WHEN turn % 2 = 0 THEN id END AS id, CASE WHEN turn % 3 = 0 THEN left(text, 60) END AS question, role || ' ' || turn AS reference, id AS position FROM msgs),
+_REFS = f"""refs AS (SELECT CASE WHEN turn % 2 = 0 THEN id END AS id, CASE WHEN turn % 3 = 0 THEN text END AS question, role || ' ' || turn AS reference, id AS position FROM msgs),
     by_id AS (SELECT id, arg_max(reference, position) AS r FROM refs WHERE id IS NOT NULL GROUP BY id),
     by_q AS (SELECT {duck.collapse('question')} AS question, arg_max(reference, position) AS r FROM refs WHERE question IS NOT NULL GROUP BY 1)"""
 
@@ -153,7 +153,7 @@ def _unblinded(spark, folder):
     turn, ident = F.col("turn"), F.col("conv_id") * inputs.TURNS + F.col("turn")
     refs = read_table(spark, folder, "conversations").select(
         F.when(turn % 2 == 0, ident).alias("id"),
-        F.when(turn % 3 == 0, F.left("text", F.lit(60))).alias("question"),
+        F.when(turn % 3 == 0, F.col("text")).alias("question"),
         F.concat_ws(" ", "role", turn.cast("string")).alias("reference"),
         ident.alias("position"),
     )

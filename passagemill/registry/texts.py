@@ -337,10 +337,10 @@ def _t24(spark, folder):
 
 
 _DOCS_SPARK = (
-    "transform(slice(split(text, ' '), 1, 12), w -> named_struct('title', if(length(w) > 5, null, w), "
+    "transform(split(text, ' '), w -> named_struct('title', if(length(w) > 5, null, w), "
     "'source', if(length(w) > 7, null, concat('s-', w)), 'headings', cast(null as string), 'content', if(w = '', null, if(length(w) > 9, null, w))))"
 )
-_DOCS_DUCK = """unnested AS (SELECT conv_id, turn, unnest(range(1, 13)) AS i, unnest(string_split(text, ' ')[1:12]) AS w FROM conversations),
+_DOCS_DUCK = """unnested AS (SELECT conv_id, turn, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS w FROM conversations),
   fields AS (SELECT conv_id, turn, i, CASE WHEN length(w) > 5 THEN '' ELSE w END AS title, CASE WHEN length(w) > 7 THEN '' ELSE 's-' || w END AS source,
     CASE WHEN w = '' OR length(w) > 9 THEN '' ELSE w END AS content FROM unnested WHERE w IS NOT NULL),
   kept AS (SELECT * FROM fields WHERE title || source || content <> '')"""
@@ -400,11 +400,11 @@ def _f1(spark, folder):
 
 @area.query(
     "f2_catalogue_search",
-    "SELECT doc_id, source FROM documents WHERE doc_id % 6 <> 0 AND (lang ILIKE '%C1%' OR source ILIKE '%C1%' OR left(text, 60) ILIKE '%C1%')",
+    "SELECT doc_id, source FROM documents WHERE doc_id % 6 <> 0 AND (lang ILIKE '%C1%' OR source ILIKE '%C1%' OR text ILIKE '%C1%')",
 )
 def _f2(spark, folder):
     rows = _docs(spark, folder).select(
-        "doc_id", "source", F.col("lang").alias("category"), F.left("text", F.lit(60)).alias("title"), (F.col("doc_id") % 6 == 0).alias("is_deleted")
+        "doc_id", "source", F.col("lang").alias("category"), F.col("text").alias("title"), (F.col("doc_id") % 6 == 0).alias("is_deleted")
     )
     return rows.where(predicates.catalogue_match(" C1 ")).select("doc_id", "source")
 

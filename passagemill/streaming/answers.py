@@ -39,14 +39,20 @@ ANSWER_SCHEMA = "request long, status string, answer string, completion_tokens l
 
 
 def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
-    """One row per request when its end or error arrives; requests silent for ``give_up_ms`` are dropped.
+    """One row per request when its end or error arrives, or, after ``give_up_ms`` without an event, as it stands (``open``).
 
     The state of a request is the deltas that came so far.
     """
 
+    def one_row(request: int, status: str, answer: str | None, tokens: int | None) -> pd.DataFrame:
+        row = {"request": [request], "status": [status], "answer": [answer], "completion_tokens": pd.array([tokens], dtype="Int64")}
+        return pd.DataFrame(row)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            parts = sorted(zip(*state.get))
             state.remove()
+            yield one_row(key[0], "open", "".join(text for _, text in parts), None)
             return
         parts = [tuple(p) for p in zip(*state.get)] if state.exists else []
         for batch in batches:
@@ -59,14 +65,7 @@ def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
                     tokens = int(row.completion_tokens) if ok and pd.notna(row.completion_tokens) else None
                     if state.exists:
                         state.remove()
-                    yield pd.DataFrame(
-                        {
-                            "request": [key[0]],
-                            "status": ["done" if ok else "error"],
-                            "answer": [final if ok else None],
-                            "completion_tokens": pd.array([tokens], dtype="Int64"),
-                        }
-                    )
+                    yield one_row(key[0], "done" if ok else "error", final if ok else None, tokens)
                     return
         state.update(([s for s, _ in parts], [t for _, t in parts]))
         state.setTimeoutDuration(give_up_ms)
