@@ -115,14 +115,30 @@ def _w3(spark, folder):
 # ---- files -------------------------------------------------------------------------------------
 
 
-@area.query("s1_scan_files")
+def _text_folder(spark, folder):
+    """The documents as text files, one folder for each source; a document ends with a line break."""
+    path = _scratch(spark, "texts")
+    docs = read_table(spark, folder, "documents").where("text is not null")
+    docs.select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
+_SIZES = "SELECT source, cast(sum(strlen(text) + 1) AS bigint) AS bytes{} FROM documents WHERE text IS NOT NULL GROUP BY source"
+
+
+@area.query("s1_scan_files", _SIZES.format(""))
 def _s1(spark, folder):
-    return files.scan_files(spark, folder, "*.parquet").select("relative_path", "length")
+    found = files.scan_files(spark, _text_folder(spark, folder), "*.txt")
+    source = F.regexp_extract("relative_path", "^source=([^/]+)/", 1)
+    return found.groupBy(source.alias("source")).agg(F.sum(F.length("content")).alias("bytes"))
 
 
-@area.query("s3_inventory")
+@area.query("s3_inventory", _SIZES.format(", 'txt' AS ext, true AS named"))
 def _s3(spark, folder):
-    return files.inventory(spark, folder, ("parquet",), "E").select("name", "path", "ext", "size")
+    found = files.inventory(spark, _text_folder(spark, folder), ("txt",), "SOURCE=")
+    source = F.regexp_extract("path", "^source=([^/]+)/", 1)
+    named = F.bool_and(F.endswith("path", F.col("name")) & ~F.contains("name", F.lit("/")))
+    return found.groupBy(source.alias("source"), "ext").agg(F.sum("size").alias("bytes"), named.alias("named"))
 
 
 _IN_GBK = r"[^\x00-\x7fáàéèêíìóòúùü]"
