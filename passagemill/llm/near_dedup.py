@@ -186,7 +186,7 @@ def similar_links(
 
     Round by round, the members of a bucket are compared with its leaders, one in the first
     round and ``MORE_LEADERS`` times as many in each that follows. Who is like none of them goes
-    on to the next round. Members that the links so far have already put into one class are not
+    on to the next round. Members that the links of the first round have put into one class are not
     compared again, so the result has every link that joins classes but not every pair inside
     one. It ends when no bucket has members of two classes left, after a number of rounds that
     is the logarithm of the number of unlike texts in one bucket.
@@ -221,9 +221,10 @@ def similar_links(
         paths.append(shared_path(spark, "links"))
         alike = stored(found, "links", paths[-1]).select("a", "b").distinct()
         settled = held.join(alike, ["a", "b"], "left_semi").select("bucket", "id").distinct()
-        rest = members.drop("root").join(settled, ["bucket", "id"], "left_anti")
-        roots = stored(components(spark.read.schema(LINKS).parquet(*paths)), "roots-so-far")
-        buckets = rest.join(roots, "id", "left").select("bucket", "order", "id", F.coalesce("root", "id").alias("root"))
+        buckets = members.join(settled, ["bucket", "id"], "left_anti").select("bucket", "order", "id", "root")
+        if n_leaders == 1:  # the first round joins nearly all that later rounds would; its classes serve them all
+            roots = stored(components(alike), "roots-of-first-round").withColumnRenamed("root", "new_root")
+            buckets = buckets.join(roots, "id", "left").select("bucket", "order", "id", F.coalesce("new_root", "root").alias("root"))
         n_leaders *= MORE_LEADERS
     return spark.read.schema(LINKS).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], LINKS)
 
