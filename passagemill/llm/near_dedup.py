@@ -6,13 +6,13 @@ Poisson processes whose rates are the weights; every arrival draws one of ``regi
 registers, which keeps the shingle that arrived first. A document is done as soon as the
 next arrival of each shingle is later than the fullest register, so it costs about
 n + k ln k arrivals and not n k. Two registers agree with the probability Jaccard
-similarity of the documents. Equal band hashes make candidates, which are first held
-against the signatures' estimate and then against the exact Jaccard similarity of their
+similarity of the documents. Equal band hashes make candidates. They are first held
+against estimates, by two bits of each register inside the join and by the whole signatures after it, and then against the exact Jaccard similarity of their
 shingle sets (``threshold``, 0.8 or more).
 
 Large groups. Byte-equal texts become one node first. In a bucket of equal band hashes
-every member is compared with leaders, chosen by a hash so that they differ from band to
-band: one at first, and more for those members that are not similar to it, until no
+every member is compared with leaders, those that share buckets with most documents:
+one at first, and more for those members that are not similar to it, until no
 bucket has members of two classes left. So a bucket of n near copies costs about n
 comparisons, not n squared, and nothing is dropped or capped. Classes are the connected components of the verified
 links, found by alternating large-star and small-star contraction on stored tables.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import delete_path, hash_pair, shared_path, stored
@@ -113,8 +113,36 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((parts * factors).sum(2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * GOLD).view(np.int64)
 
 
+SKETCHED = 32  # registers in one 64-bit number of a sketch, two bits of each
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each register, packed into 64-bit numbers; registers that do not fill a number are left out."""
+    n = signature.shape[1] // SKETCHED * SKETCHED
+    bits = (mix(signature[:, :n]) & np.uint64(3)).reshape(len(signature), -1, SKETCHED)
+    return (bits << (2 * np.arange(SKETCHED)).astype(np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def sketch_matches(a: Column, b: Column) -> Column:
+    """How many registers agree in both bits."""
+    odd = F.lit(0x5555555555555555)
+
+    def differ(x: Column) -> Column:
+        return F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd))
+
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return SKETCHED * F.size(a) - unlike
+
+
+def least_matches(threshold: float, registers: int, deviations: float = 3.7) -> int:
+    """Matches that a pair at the threshold has but for a chance of 1e-4."""
+    n = registers // SKETCHED * SKETCHED
+    p = threshold + (1 - threshold) / 4
+    return int(n * p - deviations * (n * p * (1 - p)) ** 0.5)
+
+
 def _signed(bands: int, rows: int, words: int, full: bool):
-    """Arrow batches ending in ``text`` to the same columns without it and ``bands``, or ``sig, shingles`` if ``full``."""
+    """Arrow batches ending in ``text`` to the same columns without it and ``bands, size, sketch``, or ``sig, shingles`` if ``full``."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +165,9 @@ def _signed(bands: int, rows: int, words: int, full: bool):
                 else:
                     hashes = band_hashes(sig, bands, rows)
                     made = pa.array([h if len(s) else [] for h, s in zip(hashes, sets)], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*kept, made], [*names, "bands"])
+                    sizes = pa.array([len(s) for s in sets], pa.int64())
+                    sketch = pa.array(list(sketches(sig)), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*kept, made, sizes, sketch], [*names, "bands", "size", "sketch"])
 
     return run
 
@@ -182,7 +212,7 @@ def similar_links(
     base: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS,
     least: float = LEAST_ESTIMATE,
 ) -> DataFrame:
-    """``a, b, estimate, similarity``: verified links from ``nodes`` (``id, bands``) and ``base`` (``id, text``).
+    """``a, b, estimate, similarity``: verified links from ``nodes`` (``id, bands, size, sketch``) and ``base`` (``id, text``).
 
     Round by round, the members of a bucket are compared with its leaders, one in the first
     round and ``MORE_LEADERS`` times as many in each that follows. Who is like none of them goes
@@ -192,8 +222,14 @@ def similar_links(
     is the logarithm of the number of unlike texts in one bucket.
     """
     spark = base.sparkSession
-    buckets = nodes.select("id", F.explode("bands").alias("bucket")).withColumn("order", F.xxhash64("bucket", "id"))
-    buckets = buckets.select("bucket", "order", "id", F.col("id").alias("root"))
+    buckets = nodes.select("id", "size", "sketch", F.explode("bands").alias("bucket"))
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "bucket-sizes")
+    shared = stored(buckets.join(sizes, "bucket"), "shared-buckets")
+    # Who shares buckets with most others leads: the text that many copies were made from is like them all,
+    # while two copies may be less like each other.
+    company = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company"))
+    order = -F.col("company") * 1_048_576 + F.pmod(F.xxhash64("bucket", "id"), F.lit(1_048_576))
+    buckets = shared.join(company, "id").select("bucket", order.alias("order"), "id", "size", "sketch", F.col("id").alias("root"))
     paths, texts, n_leaders = [], None, 1
     while True:
         several = buckets.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
@@ -209,22 +245,25 @@ def similar_links(
         first = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id"))
         leaders = buckets.withColumn("rank", first).where(F.col("rank") <= n_leaders)
         # A table of its own, so that Spark can split the partition of a very large bucket.
-        leaders = leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader"), F.col("root").alias("root0"))
+        leaders = leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader"), F.col("size").alias("size0"), F.col("sketch").alias("sketch0"), F.col("root").alias("root0"))
         leaders = stored(leaders, "bucket-leaders")
         led = leaders.select("bucket", F.col("leader").alias("id"))
         members = buckets.join(led, ["bucket", "id"], "left_anti")
         later = F.struct(buckets["order"], buckets["id"]) > F.struct("order0", "leader")
-        held = buckets.join(leaders, (buckets["bucket"] == leaders["bucket"]) & later & (F.col("root") != F.col("root0")))
+        # Sets whose sizes differ by more cannot be similar: the smaller would have to hold `threshold` of the larger.
+        near = (F.col("size") >= threshold * F.col("size0")) & (F.col("size0") >= threshold * F.col("size"))
+        near = near & (sketch_matches(F.col("sketch"), F.col("sketch0")) >= least_matches(threshold, bands * rows))
+        held = buckets.join(leaders, (buckets["bucket"] == leaders["bucket"]) & later & near & (F.col("root") != F.col("root0")))
         held = held.select(buckets["bucket"], "order", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         held = stored(held, "compared-members")
         found = verified_pairs(held.select("a", "b").distinct(), texts, bands, rows, least).where(F.col("similarity") >= threshold)
         paths.append(shared_path(spark, "links"))
         alike = stored(found, "links", paths[-1]).select("a", "b").distinct()
         settled = held.join(alike, ["a", "b"], "left_semi").select("bucket", "id").distinct()
-        buckets = members.join(settled, ["bucket", "id"], "left_anti").select("bucket", "order", "id", "root")
+        buckets = members.join(settled, ["bucket", "id"], "left_anti").select("bucket", "order", "id", "size", "sketch", "root")
         if n_leaders == 1:  # the first round joins nearly all that later rounds would; its classes serve them all
             roots = stored(components(alike), "roots-of-first-round").withColumnRenamed("root", "new_root")
-            buckets = buckets.join(roots, "id", "left").select("bucket", "order", "id", F.coalesce("new_root", "root").alias("root"))
+            buckets = buckets.join(roots, "id", "left").select("bucket", "order", "id", "size", "sketch", F.coalesce("new_root", "root").alias("root"))
         n_leaders *= MORE_LEADERS
     return spark.read.schema(LINKS).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], LINKS)
 
@@ -269,11 +308,11 @@ def near_duplicates(
 ) -> DataFrame:
     """``id, h1, h2, class_id``: one row per document; its id (see ``with_ids``), text hashes and class."""
     base = with_ids(docs, id_col, text_col)
-    keyed = base.select("id", "h1", "h2", "text").mapInArrow(_signed(bands, rows, words, False), "id long, h1 long, h2 long, bands array<long>")
+    keyed = base.select("id", "h1", "h2", "text").mapInArrow(_signed(bands, rows, words, False), "id long, h1 long, h2 long, bands array<long>, size long, sketch array<long>")
     keyed = stored(keyed, "bands")
     copies = stored(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
     members = keyed.join(copies, ["h1", "h2"])
-    nodes = members.where(F.col("id") == F.col("rep")).select("id", "bands").dropDuplicates(["id", "bands"])
+    nodes = members.where(F.col("id") == F.col("rep")).select("id", "bands", "size", "sketch").dropDuplicates(["id", "bands"])
     links = similar_links(base, nodes, threshold, bands, rows, words)
     # One id may stand for several texts, so the copies are links as well; a text is linked to its representative only.
     own = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
