@@ -11,11 +11,13 @@ against estimates, by two bits of each register inside the join and by the whole
 shingle sets (``threshold``, 0.8 or more).
 
 Large groups. Byte-equal texts become one node first. In a bucket of equal band hashes
-every member is compared with leaders, those that share buckets with most documents:
-one at first, and more for those members that are not similar to it, until no
-bucket has members of two classes left. So a bucket of n near copies costs about n
-comparisons, not n squared, and nothing is dropped or capped. Classes are the connected components of the verified
-links, found by alternating large-star and small-star contraction on stored tables.
+every member is compared with one leader, that which shares buckets with most documents, so
+n near copies fall into one class by about n comparisons. In a bucket that still has
+members of two classes, every member outside the largest class is then compared with all
+members of other classes, in cells of bounded size (``CELL``): two members of a bucket are
+in one class or have been held against each other. Nothing is dropped or capped. Classes
+are the connected components of the verified links, found by alternating large-star and
+small-star contraction on stored tables.
 
 Defined results: words are separated by ASCII white space and compared in lower case; a
 text of one to four words is one shingle; texts without any word (null, empty, blank) are
@@ -41,8 +43,8 @@ BANDS, ROWS = 26, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)
 #: Below this estimate a pair is not compared exactly; at 0.8 the estimate of 130 registers has deviation 0.035.
 LEAST_ESTIMATE = 0.6
 LINKS = "a long, b long, estimate double, similarity double"
-#: By how much the leaders of a bucket become more from round to round.
-MORE_LEADERS = 4
+#: Members on each side of a cell, the pairs of members of a bucket that one task holds against each other.
+CELL = 1024
 #: Shingles signed at a time, which bounds a task's memory.
 CHUNK = 150_000
 
@@ -123,15 +125,16 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return (bits << (2 * np.arange(SKETCHED)).astype(np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def sketch_matches(a: Column, b: Column) -> Column:
+def sketch_matches(a: Column, b: Column, registers: int) -> Column:
     """How many registers agree in both bits."""
+    numbers = registers // SKETCHED
     odd = F.lit(0x5555555555555555)
 
     def differ(x: Column) -> Column:
         return F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd))
 
-    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return SKETCHED * F.size(a) - unlike
+    unlike = sum((differ(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(numbers)), F.lit(0))
+    return SKETCHED * numbers - unlike
 
 
 def least_matches(threshold: float, registers: int, deviations: float = 3.7) -> int:
@@ -214,58 +217,59 @@ def similar_links(
 ) -> DataFrame:
     """``a, b, estimate, similarity``: verified links from ``nodes`` (``id, bands, size, sketch``) and ``base`` (``id, text``).
 
-    Round by round, the members of a bucket are compared with its leaders, one in the first
-    round and ``MORE_LEADERS`` times as many in each that follows. Who is like none of them goes
-    on to the next round. Members that the links of the first round have put into one class are not
-    compared again, so the result has every link that joins classes but not every pair inside
-    one. It ends when no bucket has members of two classes left, after a number of rounds that
-    is the logarithm of the number of unlike texts in one bucket.
+    First the members of a bucket are compared with its leader. Then, in buckets with members
+    of several classes, those outside the largest class are compared with all members of
+    other classes. So the result has every link that joins classes but not every pair inside one.
     """
-    spark = base.sparkSession
+    spark, registers, matches = base.sparkSession, bands * rows, least_matches(threshold, bands * rows)
     buckets = nodes.select("id", "size", "sketch", F.explode("bands").alias("bucket"))
     sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "bucket-sizes")
     shared = stored(buckets.join(sizes, "bucket"), "shared-buckets")
+    if shared.isEmpty():
+        return spark.createDataFrame([], LINKS)
     # Who shares buckets with most others leads: the text that many copies were made from is like them all,
     # while two copies may be less like each other.
     company = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company"))
     order = -F.col("company") * 1_048_576 + F.pmod(F.xxhash64("bucket", "id"), F.lit(1_048_576))
-    buckets = shared.join(company, "id").select("bucket", order.alias("order"), "id", "size", "sketch", F.col("id").alias("root"))
-    paths, texts, n_leaders = [], None, 1
-    while True:
-        several = buckets.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        buckets = stored(buckets.join(stored(several, "open-buckets"), "bucket"), "bucket-members")
-        if buckets.isEmpty():
-            break
-        if texts is None:  # later rounds only meet documents of the first
-            wanted = buckets.select("id").distinct()
-            rows_ = base.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(
-                _signed(bands, rows, words, True), "id long, sig binary, shingles binary"
-            )
-            texts = stored(rows_, "candidate-shingles")
-        first = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id"))
-        leaders = buckets.withColumn("rank", first).where(F.col("rank") <= n_leaders)
-        # A table of its own, so that Spark can split the partition of a very large bucket.
-        leaders = leaders.select("bucket", F.col("order").alias("order0"), F.col("id").alias("leader"), F.col("size").alias("size0"), F.col("sketch").alias("sketch0"), F.col("root").alias("root0"))
-        leaders = stored(leaders, "bucket-leaders")
-        led = leaders.select("bucket", F.col("leader").alias("id"))
-        members = buckets.join(led, ["bucket", "id"], "left_anti")
-        later = F.struct(buckets["order"], buckets["id"]) > F.struct("order0", "leader")
-        # Sets whose sizes differ by more cannot be similar: the smaller would have to hold `threshold` of the larger.
-        near = (F.col("size") >= threshold * F.col("size0")) & (F.col("size0") >= threshold * F.col("size"))
-        near = near & (sketch_matches(F.col("sketch"), F.col("sketch0")) >= least_matches(threshold, bands * rows))
-        held = buckets.join(leaders, (buckets["bucket"] == leaders["bucket"]) & later & near & (F.col("root") != F.col("root0")))
-        held = held.select(buckets["bucket"], "order", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        held = stored(held, "compared-members")
-        found = verified_pairs(held.select("a", "b").distinct(), texts, bands, rows, least).where(F.col("similarity") >= threshold)
-        paths.append(shared_path(spark, "links"))
-        alike = stored(found, "links", paths[-1]).select("a", "b").distinct()
-        settled = held.join(alike, ["a", "b"], "left_semi").select("bucket", "id").distinct()
-        buckets = members.join(settled, ["bucket", "id"], "left_anti").select("bucket", "order", "id", "size", "sketch", "root")
-        if n_leaders == 1:  # the first round joins nearly all that later rounds would; its classes serve them all
-            roots = stored(components(alike), "roots-of-first-round").withColumnRenamed("root", "new_root")
-            buckets = buckets.join(roots, "id", "left").select("bucket", "order", "id", "size", "sketch", F.coalesce("new_root", "root").alias("root"))
-        n_leaders *= MORE_LEADERS
-    return spark.read.schema(LINKS).parquet(*paths).dropDuplicates(["a", "b"]) if paths else spark.createDataFrame([], LINKS)
+    buckets = stored(shared.join(company, "id").select("bucket", order.alias("order"), "id", "size", "sketch"), "bucket-members")
+    rows_ = base.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(
+        _signed(bands, rows, words, True), "id long, sig binary, shingles binary"
+    )
+    texts = stored(rows_, "candidate-shingles")
+    # Sets whose sizes differ by more cannot be similar: the smaller would have to hold `threshold` of the larger.
+    near = (F.col("size") >= threshold * F.col("size0")) & (F.col("size0") >= threshold * F.col("size"))
+    near = near & (sketch_matches(F.col("sketch"), F.col("sketch0"), registers) >= matches)
+    pair = (F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b"))
+
+    def verified(held: DataFrame, name: str) -> tuple[DataFrame, str]:
+        held, path = stored(held.distinct(), f"compared-with-{name}"), shared_path(spark, "links")
+        found = verified_pairs(held, texts, bands, rows, least).where(F.col("similarity") >= threshold)
+        return stored(found, "links", path), path
+
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("order", "id", "size", "sketch")).alias("first"))
+    # A table of its own, so that Spark can split the partition of a very large bucket.
+    leaders = stored(leaders.select("bucket", F.col("first.id").alias("id0"), F.col("first.size").alias("size0"), F.col("first.sketch").alias("sketch0")), "bucket-leaders")
+    alike, led = verified(buckets.join(leaders, "bucket").where((F.col("id") != F.col("id0")) & near).select(*pair), "leaders")
+    roots = stored(components(alike), "roots-of-leaders")
+    buckets = buckets.join(roots, "id", "left").select("bucket", "id", "size", "sketch", F.coalesce("root", "id").alias("root"))
+    buckets = stored(buckets, "members-with-roots")
+    # Who is not of the bucket's largest class is held against all members of other classes, the settled ones as well.
+    classes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+    classes = classes.agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("most < members")
+    parts, loose_parts = F.ceil(F.col("members") / CELL), F.ceil((F.col("members") - F.col("most")) / CELL)
+    classes = stored(classes.select("bucket", "main", parts.cast("int").alias("parts"), loose_parts.cast("int").alias("loose_parts")), "open-buckets")
+    still = buckets.join(classes, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    loose = still.where(F.col("root") != F.col("main")).withColumn("part", every("parts")).withColumn("loose_part", dealt("loose_parts"))
+    loose = loose.select("bucket", "part", "loose_part", F.col("id").alias("id0"), F.col("root").alias("root0"), F.col("size").alias("size0"), F.col("sketch").alias("sketch0"))
+    all_ = still.withColumn("loose_part", every("loose_parts")).withColumn("part", dealt("parts"))
+    all_ = all_.select("bucket", "part", "loose_part", "id", "root", "main", "size", "sketch")
+    unlike = (F.col("root") != F.col("root0")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("id0")))
+    # Both sides are stored, so that Spark can split large partitions of either.
+    held = stored(all_, "cell-members").join(stored(loose, "cell-loose"), ["bucket", "part", "loose_part"]).where(unlike & near).select(*pair)
+    _, rest = verified(held, "all")
+    return spark.read.schema(LINKS).parquet(led, rest).dropDuplicates(["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:

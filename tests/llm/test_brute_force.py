@@ -69,6 +69,31 @@ def test_near_duplicate_classes(request, table):
     assert got == {d: find(d) for d in sets}
 
 
+def test_settled_members_of_a_bucket_are_compared(spark):
+    """Thousands in one bucket: copies A of a leader, each with a text B that is like A and not like the leader."""
+    base, rows, want = words(71, 300, 10**6).split(), [(0, words(71, 300, 10**6))], set()
+    for i in range(1500):
+        near, far = list(base), []
+        for k in (3 * i % 40, 100 + i % 40):  # two changes in A cost ten shingles
+            near[k] = f"x{i}-{k}"
+        far = list(near)
+        for k in (160, 180, 200, 220, 240, 260):  # six more in B, thirty shingles
+            far[k] = f"y{i}-{k}"
+        rows += [(2 * i + 1, " ".join(near)), (2 * i + 2, " ".join(far))]
+        want.add((2 * i + 1, 2 * i + 2))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(alike(0, a) and alike(a, b) and not alike(0, b) for a, b in want)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    signed = texts.selectExpr("id", "text").mapInArrow(near_dedup._signed(26, 5, 5, False), "id long, bands array<long>, size long, sketch array<long>")
+    # One bucket for all, and one more each of which the leader is a member: nothing else joins A and B.
+    bands = near_dedup.F.when(near_dedup.F.col("id") == 0, near_dedup.F.array([near_dedup.F.lit(n) for n in (7, 8)])).when(near_dedup.F.col("id") == 1, near_dedup.F.array(near_dedup.F.lit(7), near_dedup.F.lit(8)))
+    nodes = signed.withColumn("bands", near_dedup.F.coalesce(bands, near_dedup.F.array(near_dedup.F.lit(7))).cast("array<long>")).cache()
+    links = near_dedup.similar_links(texts, nodes).select("a", "b")
+    roots = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
+    assert sum(roots.get(i) != 0 for i in sets) <= 3  # but for the chance that a sketch misses a pair
+
+
 def test_probminhash_estimates_probability_jaccard():
     draw = np.random.default_rng(0)
     elements = draw.integers(1, 2**62, 300).astype(np.uint64)
