@@ -1,12 +1,13 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-A document is a weighted set of shingles of five words; a shingle's weight is
-1 + ln(number of times it occurs). ProbMinHash lets the shingles of a document arrive as
-Poisson processes whose rates are the weights; every arrival draws one of ``registers``
-registers, which keeps the shingle that arrived first. A document is done as soon as the
-next arrival of each shingle is later than the fullest register, so it costs about
-n + k ln k arrivals and not n k. Two registers agree with the probability Jaccard
-similarity of the documents. Equal band hashes make candidates. They are first held
+A document is a set of shingles of five words. ProbMinHash lets the shingles of a document
+arrive as Poisson processes whose rates are their weights; every arrival draws one of
+``registers`` registers, which keeps the shingle that arrived first. A document is done as
+soon as the next arrival of each shingle is later than the fullest register, so it costs
+about n + k ln k arrivals and not n k. Two registers agree with the probability Jaccard
+similarity of the documents. Every distinct shingle has the weight 1, however often it
+occurs, so that this is the Jaccard similarity which the rule is about; weights by counts
+would hide pairs whose differing shingles repeat. Equal band hashes make candidates. They are first held
 against estimates, by two bits of each register inside the join and by the whole signatures after it, and then against the exact Jaccard similarity of their
 shingle sets (``threshold``, 0.8 or more).
 
@@ -153,13 +154,12 @@ def _signed(bands: int, rows: int, words: int, full: bool):
         for batch in batches:
             texts, at = batch.column(batch.num_columns - 1), 0
             while at < batch.num_rows:
-                begin, sets, counts, held = at, [], [], 0
+                begin, sets, held = at, [], 0
                 while at < batch.num_rows and held < CHUNK:
-                    values, times = np.unique(shingler(texts[at].as_py()), return_counts=True)
+                    values = np.unique(shingler(texts[at].as_py()))
                     sets.append(values)
-                    counts.append(1.0 + np.log(times))
                     held, at = held + len(values), at + 1
-                sig = signatures(sets, counts, k)
+                sig = signatures(sets, [np.ones(len(s)) for s in sets], k)
                 kept = [batch.column(i).slice(begin, at - begin) for i in range(batch.num_columns - 1)]
                 names = batch.schema.names[:-1]
                 if full:

@@ -94,6 +94,18 @@ def test_settled_members_of_a_bucket_are_compared(spark):
     assert sum(roots.get(i) != 0 for i in sets) <= 3  # but for the chance that a sketch misses a pair
 
 
+def test_pairs_whose_differing_shingles_repeat(spark):
+    """Sets alike by 0.81, with the differing part of each text repeated 20 times."""
+    rows = []
+    for i in range(60):
+        shared = words(2000 + i, 130, 10**6)
+        rows += [(2 * i + k, shared + (" " + words(3000 + 2 * i + k, 10, 10**6)) * 20) for k in (0, 1)]
+    sets = {i: shingles(t) for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, 120, 2))
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 def test_probminhash_estimates_probability_jaccard():
     draw = np.random.default_rng(0)
     elements = draw.integers(1, 2**62, 300).astype(np.uint64)
