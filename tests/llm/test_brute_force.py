@@ -312,6 +312,32 @@ def test_toxicity_on_held_out_documents(spark, docs, data):
     assert all(0 <= r["expected_severity"] <= toxicity.GRADES for r in out.values())
 
 
+def test_toxic_documents_with_a_single_rare_insult(spark):
+    """A tenth are toxic, by one of 400 insults each (more than 256), nearly all of them with a single one."""
+    insults = [f"insult{k}" for k in range(400)]
+    draw = random.Random(8)
+    sets, toxic = [], []
+    for i in range(24_000):
+        bad = i % 10 == 0
+        w = words(5000 + i, 40, 3000).split()
+        if bad:
+            w[draw.randrange(40)] = insults[i // 10 % 400]
+        sets.append(toxicity.word_counts(" ".join(w)))
+        toxic.append(int(bad))
+    toxic = np.array(toxic)
+    model = toxicity.fit(sets[:20_000], toxic[:20_000])
+    assert len(model.weights) >= 400
+    hit = np.array([model.of_counts(*x) >= model.cut for x in sets[20_000:]])
+    assert hit[toxic[20_000:] == 1].mean() >= 0.97 and hit[toxic[20_000:] == 0].mean() <= 2 * toxicity.FALSE_ALARMS
+    assert model.held_out["false_alarms"] <= toxicity.FALSE_ALARMS
+
+
+def test_cut_off_finds_most_at_the_stated_false_alarms():
+    p, toxic = np.array([0.01] * 990 + [0.02] * 6 + [0.2] * 4 + [0.1] * 20 + [0.9] * 80), np.array([0] * 1000 + [1] * 100)
+    cut = toxicity.best_cut(p, toxic, 0.005)
+    assert 0.02 < cut <= 0.1 and toxicity.best_cut(p, toxic, 0.0) > 0.2
+
+
 PAGES = [
     ("<body><div class='navbar'><ul><li><a href='/'>Home</a><li><a href='/x'>News</a></ul></div><div id='main-content'><h1>A day out</h1><p>We walked a long way &amp; came back late in the evening.<p>It rained, but nobody minded the rain at all.</div>"
      "<div class='sidebar'><h3>Related</h3><p>Ten other stories that you should read.</p></div><div class='cookie-notice'>We use cookies to improve this site. <a>OK</a></div></body>",
