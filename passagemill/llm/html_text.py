@@ -16,7 +16,9 @@ so that the model learns common names of menus, notices, sidebars, adverts, form
 comments and not one site's template. Inference covers every page, whole.
 
 Defined results: a null or empty page has an empty text; unclosed and crossing tags, cut-off
-pages and unknown elements are read as far as they go; character references are decoded,
+pages and unknown elements are read as far as they go; a head ends where something comes that
+cannot stand in it; ``svg``, ``select``, ``button`` and the like end at their end tag or, if
+they have none, at the next block; character references are decoded,
 also at the end; text within ``script``, ``style`` and the like never counts; rows that
 repeat are extracted each on its own; extra columns are ignored. If no page gives an
 example the model is trained on built-in sentences.
@@ -43,6 +45,7 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 ENDS_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article main aside nav header footer form blockquote pre figure hr address fieldset".split())
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -52,6 +55,10 @@ TAG_GROUPS = {
     **dict.fromkeys("li dt dd".split(), "item"), **dict.fromkeys("tr td th tbody thead tfoot".split(), "cell"),
     **dict.fromkeys("pre figure figcaption address details summary".split(), "figure"), "dialog": "form", "html": "body", "#root": "body", "#text": "text",
 }
+#: Start tags at which a skipped element without an end tag is over.
+BLOCKS = ENDS_P | frozenset(t for t in TAG_GROUPS if not t.startswith("#"))
+#: The attribute that carries the labels of training pages; other pages are read without it.
+LABEL = "data-passagemill-content"
 
 # Words of class, id and role that name a part of a page.
 HINTS = {
@@ -88,8 +95,8 @@ class Node:
             parent.children.append(self)
 
 
-def hints_of(raw: str) -> tuple[frozenset, int | None]:
-    """Kinds named by class, id, role and label; and the training label, if the page carries one."""
+def hints_of(raw: str, labels: bool = False) -> tuple[frozenset, int | None]:
+    """Kinds named by class, id, role and label; and the training label, if ``labels`` are to be read."""
     kinds, label = set(), None
     for name, *values in ATTRIBUTE.findall(raw):
         name, value = name.lower(), next((v for v in values if v), "")
@@ -99,13 +106,25 @@ def hints_of(raw: str) -> tuple[frozenset, int | None]:
                 if kind:
                     kinds.add(kind)
             kinds.update(HINT_OF[w] for w in re.split(r"[^a-z]+", value.lower()) if w in HINT_OF)
-        elif name == "data-y":
+        elif labels and name == LABEL:
             label = int(value)
     return frozenset(kinds), label
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, labels: bool = False) -> list[Node]:
     """Nodes in page order, parents before children; text runs are leaves with their white space collapsed."""
+    unclosed: set[int] = set()
+    while True:
+        nodes, found = parse_once(page, labels, unclosed)
+        if found <= unclosed:
+            return nodes
+        unclosed |= found
+
+
+def parse_once(page: str, labels: bool, unclosed: set[int]) -> tuple[list[Node], set[int]]:
+    """Nodes, and the places of skipped elements that no end tag of their own has closed; those in ``unclosed`` end at the next block."""
+    open_at: dict[int, int] = {}  # skipped elements that are open, by their node: the place
+    never_closed: set[int] = set()
     root = Node("#root", None)
     nodes, stack, pieces, at = [root], [("#root", root)], [], 0
     anchors, link_chars = 0, 0
@@ -125,12 +144,20 @@ def parse(page: str) -> list[Node]:
         if any(node is not stack[depth - 1][1] for _, node in stack[depth:]):
             close_run()
         anchors -= sum(tag == "a" for tag, _ in stack[depth:])
+        never_closed.update(open_at.pop(id(node)) for _, node in stack[depth:] if id(node) in open_at)
         del stack[depth:]
 
+    def leave_head() -> None:
+        depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "head"), 0)
+        if depth:
+            pop_to(depth)
+
     def say(raw: str) -> None:
         nonlocal link_chars
         if raw:
             text = html.unescape(raw)
+            if text.strip():
+                leave_head()
             pieces.append(text)
             if anchors:
                 link_chars += len(text.strip())
@@ -149,8 +176,15 @@ def parse(page: str) -> list[Node]:
         if found[1]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
             if depth and not (tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :])):
+                open_at.pop(id(stack[depth][1]), None)
                 pop_to(depth)
             continue
+        if tag not in IN_HEAD:
+            leave_head()
+        if unclosed and tag in BLOCKS:
+            depth = next((d for d in range(1, len(stack)) if open_at.get(id(stack[d][1])) in unclosed), 0)
+            if depth:
+                pop_to(depth)
         if tag == "br":
             pieces.append(" ")
             continue
@@ -163,13 +197,13 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in ENDS_P:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p"), 0)
-            if depth and not any(t in ("table", "button", "object") for t, _ in stack[depth:]):
+            if depth and not any(t == "table" or id(node) in open_at for t, node in stack[depth:]):
                 pop_to(depth)
         if tag in SAME_LEVEL:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag or stack[d][0] in SAME_LEVEL[tag]), 0)
             if depth and stack[depth][0] == tag:
                 pop_to(depth)
-        hints, label = hints_of(found[3]) if found[3] else (frozenset(), None)
+        hints, label = hints_of(found[3], labels) if found[3] else (frozenset(), None)
         if tag in INLINE and not (hints - {"content"}):
             stack.append((tag, stack[-1][1]))
             anchors += tag == "a"
@@ -178,7 +212,10 @@ def parse(page: str) -> list[Node]:
             node = Node(tag, stack[-1][1], hints, label)
             nodes.append(node)
             stack.append((tag, node))
+            if tag in SKIPPED and tag != "head":
+                open_at[id(node)] = found.start()
     close_run()
+    never_closed.update(open_at.values())
     live = []
     for node in nodes:
         up, skip = node, False
@@ -190,7 +227,7 @@ def parse(page: str) -> list[Node]:
         if node.parent:
             node.parent.size += node.size
             node.parent.link_size += node.link_size
-    return [n for n in live if n.size or n.parent is None]
+    return [n for n in live if n.size or n.parent is None], never_closed
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -263,8 +300,8 @@ class TreeModel:
 
 
 def labelled(page: str) -> tuple[list[Node], np.ndarray]:
-    """Nodes of a page whose elements carry ``data-y``, and their states: a text's nearest label, an element's larger part."""
-    nodes = parse(page)
+    """Nodes of a page whose elements carry ``LABEL``, and their states: a text's nearest label, an element's larger part."""
+    nodes = parse(page, labels=True)
     y, good = np.zeros(len(nodes), int), {}
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
@@ -329,13 +366,14 @@ def layouts(articles: list[list[str]], rest: list[str], seed: int, copies: int =
             "comment": lambda: draw.choice(["section", "div", "ol"]).join([f"<", f" {mark('comment')}><h3>{esc(draw.choice(SHORT))}</h3>" + "".join(f"<div class='{draw.choice(['reply', 'item', 'comment-body', 'c'])}'>{par(other(2))}</div>" for _ in range(draw.randint(1, 4))) + "</", ">"]),
             "social": lambda: f"<div {mark('social')}>{links()}</div>",
         }
-        bad = lambda kinds: "".join(drops[k]().replace(">", ' data-y="0">', 1) for k in kinds if draw.random() < 0.6)
+        bad = lambda kinds: "".join(drops[k]().replace(">", f' {LABEL}="0">', 1) for k in kinds if draw.random() < 0.6)
         inner = [draw.choice([f"<h1>{esc(blocks[0])}</h1>", f"<header><h1>{esc(blocks[0])}</h1></header>", f"<h2>{esc(blocks[0])}</h2>"])]
         for block in blocks[1:]:
             inner.append(draw.choice([par(block)] * 6 + [f"<div>{esc(block)}</div>", f"<blockquote>{par(block)}</blockquote>", f"<ul><li>{esc(block)}</li></ul>", f"<h2>{esc(' '.join(block.split()[:5]))}</h2>", f'<p>{esc(block)} <a href="#">{esc(block[:20])}</a></p>']))
             if draw.random() < 0.08:
                 inner.append(bad([draw.choice(["advert", "side", "notice", "social"])]))
-        root = draw.choice(["<article data-y='1'>{}</article>"] * 3 + [f"<div data-y='1' {mark('content')}>{{}}</div>", "<main data-y='1'>{}</main>", "<main><article data-y='1'>{}</article></main>", f"<section data-y='1' {mark('content')}>{{}}</section>", "<div data-y='1'>{}</div>"])
+        one = f"{LABEL}='1'"
+        root = draw.choice([f"<article {one}>{{}}</article>"] * 3 + [f"<div {one} {mark('content')}>{{}}</div>", f"<main {one}>{{}}</main>", f"<main><article {one}>{{}}</article></main>", f"<section {one} {mark('content')}>{{}}</section>", f"<div {one}>{{}}</div>"])
         core = root.format("".join(inner) + (bad(["comment", "social"]) if draw.random() < 0.3 else ""))
         wrap = draw.choice(["{}", "{}", "<div class='wrapper'>{}</div>", "<div id='page'><div class='row'>{}</div></div>"])
         before, after = bad(["notice", "header", "menu", "advert", "form"]), bad(["side", "advert", "comment", "menu", "form", "footer"])

@@ -354,6 +354,31 @@ def test_main_text_of_hand_written_pages(spark, data):
         assert model.extract(page) == text
 
 
+BODY, TEXT = PAGES[0]
+MOVED = "<p>It rained, but nobody"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8>" + BODY,
+        "<head><title>T</title>" + BODY.removeprefix("<body>"),
+        "<head>\n<link rel=x>\n" + BODY.replace("<div class='navbar'>", "<div class='navbar' data-y='12.5'>").replace("<p>", "<p data-y='0'>"),
+        *(BODY.replace(MOVED, f"<{tag} class='x'>{MOVED}") for tag in "svg select button canvas object audio video".split()),
+        *(BODY.replace(MOVED, f"<{tag} class='x'><p>Not to be read.</p></{tag}>{MOVED}") for tag in "svg button canvas object audio video".split()),
+        BODY.replace(MOVED, f"<video src=a>{MOVED}").replace("</h1>", "</h1><video src=b><p>Not to be read.</p></video>"),
+        BODY.replace(MOVED, f"<video src=b><p>Not to be read.</p></video>{MOVED}").replace("</h1>", "</h1><video src=a>"),
+    ],
+)
+def test_omitted_end_tags_and_labels_of_others(spark, data, page):
+    model = html_text.trained(spark.read.parquet(f"{data}/pages.parquet"))
+    assert model.extract(page) == TEXT
+
+
+def test_text_ends_an_open_head():
+    assert [n.text for n in html_text.parse("<head><title>T</title> Plain words<p>More") if n.text] == ["Plain words", "More"]
+
+
 def test_main_text_of_given_pages_and_held_out_layouts(spark, data):
     pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
     model = html_text.trained(spark.read.parquet(f"{data}/pages.parquet"))
