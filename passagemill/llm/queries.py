@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk, toxicity
+from passagemill.llm import filter_audit, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,8 +76,15 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(pages, html_text.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op6_toxicity, op7_quality_rules, op8_source_mixing, op9_license_scan, op10_html_extraction)
+    made = (
+        op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op6_toxicity, op7_quality_rules,
+        op8_source_mixing, op9_license_scan, op10_html_extraction, op13_filter_audit,
+    )
     return {query.__name__: query for query in made}
 
 
@@ -114,4 +121,42 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (WHERE stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op13_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t
+), m AS (
+  SELECT doc_id, part,
+         CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(first_id < doc_id, false) AS INT) AS mask
+  FROM w
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE l.good) AS good, count(*) FILTER (WHERE l.toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+  FROM o, unnest(range(1, 6)) AS u(step)
+), r AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r""",
 }
