@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import filter_audit, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, substrings, topk, toxicity
+from passagemill.llm import filter_audit, html_text, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,11 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(pages, html_text.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    out = pii.counted(pii.found(table(spark, folder, "documents")))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -83,13 +88,32 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op6_toxicity, op7_quality_rules,
-        op8_source_mixing, op9_license_scan, op10_html_extraction, op13_filter_audit,
+        op8_source_mixing, op9_license_scan, op10_html_extraction, op12_pii, op13_filter_audit,
     )
     return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op12_pii": _pii_sql(SQL["op12_pii"])}
+
+
+def _pii_sql(template: str) -> str:
+    """Patterns in the form of DuckDB's engine, which never goes back and has no lookaround."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "birth": r"\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\b",
+    }
+    proposals = [
+        f"SELECT row, '{k.name}' AS kind, {i} AS listed, '(?:^|[^a-z])(?:{'|'.join(k.context)})(?:[^a-z]|$)' AS near, {k.confidence} AS confidence, "
+        f"regexp_extract_all(text, '{plain[k.name]}') AS hits, string_split_regex(text, '{plain[k.name]}') AS gaps FROM d"
+        for i, k in enumerate(pii.KINDS)
+    ]
+    filled = {"{proposals}": " UNION ALL ".join(proposals), "{upper}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "{lower}": "abcdefghijklmnopqrstuvwxyz"}
+    for mark, value in filled.items():
+        template = template.replace(mark, value)
+    return template
 
 
 SQL = {
@@ -121,6 +145,45 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (WHERE stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_pii": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), p AS (
+  {proposals}
+), h AS (
+  SELECT row, kind, listed, near, confidence, n, hits[n] AS hit, gaps[n] AS gap, gaps[n + 1] AS rest
+  FROM p, unnest(range(1, len(hits) + 1)) AS u(n)
+), s AS (
+  SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY n) AS BIGINT) AS stop,
+         regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS bare,
+         CASE WHEN regexp_matches(translate(right(gap, 48), '{upper}', '{lower}'), near)
+                OR regexp_matches(translate(left(rest, 24), '{upper}', '{lower}'), near) THEN 0.3 ELSE 0 END AS gain
+  FROM h
+), v AS (
+  SELECT row, kind, listed, stop - length(hit) AS start, stop,
+    CASE kind
+      WHEN 'email' THEN true
+      WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS BIGINT), 0) > 255)) = 0
+      WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum([
+          CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INT)
+               WHEN CAST(digits[i] AS INT) > 4 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END
+          for i in range(1, least(length(digits), 19) + 1)]) % 10 = 0
+      WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+      WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, [
+          CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END for c in string_split(substr(bare, 5, 30) || left(bare, 4), '')]),
+          lambda r, x: CASE WHEN x < 10 THEN r * 10 + x ELSE r * 100 + x END % 97) = 1
+      WHEN 'ssn' THEN NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$') AND confidence + gain >= 0.6
+      ELSE TRY_CAST(hit AS DATE) IS NOT NULL AND confidence + gain >= 0.6
+    END AS good
+  FROM s
+), o AS (
+  SELECT row, listed, kind, start, kind || ':' || start || ':' || stop AS span FROM v WHERE good
+)
+SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, listed) FILTER (WHERE listed < 4), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, listed), '') AS spans
+FROM d LEFT JOIN o USING (row) GROUP BY row, doc_id""",
     "op13_filter_audit": r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
