@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import filter_audit, html_text, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, substrings, topk, toxicity
+from passagemill.llm import filter_audit, hard_negatives, html_text, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,13 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(pages, html_text.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.labelled(table(spark, folder, "embeddings"), moved)
+    return hard_negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
     out = pii.counted(pii.found(table(spark, folder, "documents")))
     return out.select(F.col("doc.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -88,7 +95,7 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_exact_top_k, op2_best_fit_packing, op3_line_dedup, op4_near_dedup, op5_substring_dedup, op6_toxicity, op7_quality_rules,
-        op8_source_mixing, op9_license_scan, op10_html_extraction, op12_pii, op13_filter_audit,
+        op8_source_mixing, op9_license_scan, op10_html_extraction, op11_hard_negatives, op12_pii, op13_filter_audit,
     )
     return {query.__name__: query for query in made}
 
@@ -145,6 +152,24 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (WHERE stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op12_pii": r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
