@@ -6,8 +6,8 @@ bucket holds one list per coordinate of its rows in order of the normalised comp
 An anchor that looks for scores in ``[low, high]`` skips the buckets too short for ``low``. In
 another bucket the angle between anchor and row is confined, which confines the angle
 between the row and each axis: for the anchor's largest components (its focus coordinates) this
-is a range of the bucket's lists. Rows in all ranges are verified exactly. Where no range is
-narrow the bucket is verified by one matrix product for all such anchors. ``low`` rises while
+is a range of the bucket's lists. Rows in all ranges are verified exactly. Where the ranges are
+wide the bucket is verified by one matrix product for all such anchors. ``low`` rises while
 an anchor's lists fill up, so the long buckets in front narrow the later ones.
 
 Two rounds visit all blocks with all blocks of anchors: the first finds each anchor's positives, the second
@@ -38,8 +38,9 @@ BLOCK_ROWS, BUCKET_ROWS, ANCHOR_ROWS, CELL_ROWS, FAN_IN = 8192, 2048, 512, 65_53
 #: Within a bucket lengths fall to this share of its longest vector.
 SHORTEST = 0.9
 FOCUS = 6
-#: Anchors whose narrowest range holds more than this share of a bucket are verified together, by a matrix product.
-NARROW = 0.25
+#: Anchors whose ranges together would leave more than this share of a bucket, if components were
+#: independent, are verified together by a matrix product; gathering rows one anchor at a time pays below it.
+NARROW = 0.05
 #: Room for the rounding of angles and normalised components.
 SLACK = 1e-7
 
@@ -228,7 +229,7 @@ def products(a: np.ndarray, b: np.ndarray, bound: int) -> np.ndarray:
 
 
 def candidates(anchors: Anchors, which: np.ndarray, low: np.ndarray, high: np.ndarray, block: Block, a: int, b: int, lists: np.ndarray):
-    """For each of ``which`` anchors the rows of a bucket that lie in all its ranges, or None where no range is narrow."""
+    """For each of ``which`` anchors the rows of a bucket that lie in all its ranges, or None where the ranges are wide."""
     longest, shortest = block.lengths[a], block.lengths[b - 1]
     found: list = [None] * len(which)
     some = np.flatnonzero((low[which] > 0) & (anchors.lengths[which] > 0)) if longest > 0 else np.empty(0, np.int64)
@@ -248,7 +249,7 @@ def candidates(anchors: Anchors, which: np.ndarray, low: np.ndarray, high: np.nd
         begin[users], end[users] = np.searchsorted(values, lower[users], "left"), np.searchsorted(values, upper[users], "right")
     width = np.maximum(0, end - begin)
     best = width.argmin(1)
-    for i in np.flatnonzero(width.min(1) <= NARROW * (b - a)):
+    for i in np.flatnonzero((width / (b - a)).prod(1) <= NARROW):
         j = best[i]
         rows = lists[focus[i, j], begin[i, j] : max(begin[i, j], end[i, j])].astype(np.int64)
         for k in range(focus.shape[1]):  # the other ranges, on the rows that are left
