@@ -7,16 +7,17 @@ soon as the next arrival of each shingle is later than the fullest register, so
 about n + k ln k arrivals and not n k. Two registers agree with the probability Jaccard
 similarity of the documents. Every distinct shingle has the weight 1, however often it
 occurs, so that this is the Jaccard similarity which the rule is about; weights by counts
-would hide pairs whose differing shingles repeat. Equal band hashes make candidates. They are first held
-against estimates, by two bits of each register inside the join and by the whole signatures after it, and then against the exact Jaccard similarity of their
-shingle sets (``threshold``, 0.8 or more).
+would hide pairs whose differing shingles repeat. Equal band hashes make candidates. Pairs with a leader
+are first held against an estimate by two bits of each register; all pairs that are left are held
+against the exact Jaccard similarity of their shingle sets (``threshold``, 0.8 or more).
 
 Large groups. Byte-equal texts become one node first. In a bucket of equal band hashes
 every member is compared with one leader, that which shares buckets with most documents, so
-n near copies fall into one class by about n comparisons. In a bucket that still has
-members of two classes, every member outside the largest class is then compared with all
-members of other classes, in cells of bounded size (``CELL``): two members of a bucket are
-in one class or have been held against each other. Nothing is dropped or capped. Classes
+n near copies fall into one class by about n comparisons. In a bucket whose other members
+are still of two classes, those outside the largest class are looked for partners among the members of
+other classes, by the rare shingles with which their sets begin in one common order
+(``overlapping_prefixes``): two members of a bucket are in one class, or have been held
+against each other, or cannot be similar. Nothing is dropped or capped. Classes
 are the connected components of the verified links, found by alternating large-star and
 small-star contraction on stored tables.
 
@@ -41,11 +42,7 @@ from passagemill.llm.common import delete_path, hash_pair, shared_path, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^26 = 3e-5
-#: Below this estimate a pair is not compared exactly; at 0.8 the estimate of 130 registers has deviation 0.035.
-LEAST_ESTIMATE = 0.6
-LINKS = "a long, b long, estimate double, similarity double"
-#: Members on each side of a cell, the pairs of members of a bucket that one task holds against each other.
-CELL = 1024
+LINKS = "a long, b long, similarity double"
 #: Shingles signed at a time, which bounds a task's memory.
 CHUNK = 150_000
 
@@ -145,8 +142,8 @@ def least_matches(threshold: float, registers: int, deviations: float = 3.7) ->
     return int(n * p - deviations * (n * p * (1 - p)) ** 0.5)
 
 
-def _signed(bands: int, rows: int, words: int, full: bool):
-    """Arrow batches ending in ``text`` to the same columns without it and ``bands, size, sketch``, or ``sig, shingles`` if ``full``."""
+def _signed(bands: int, rows: int, words: int):
+    """Arrow batches ending in ``text`` to the same columns without it and ``bands, size, sketch``."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,39 +159,50 @@ def _signed(bands: int, rows: int, words: int, full: bool):
                 sig = signatures(sets, [np.ones(len(s)) for s in sets], k)
                 kept = [batch.column(i).slice(begin, at - begin) for i in range(batch.num_columns - 1)]
                 names = batch.schema.names[:-1]
-                if full:
-                    made = [pa.array([s.astype(np.uint32).tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(kept + made, [*names, "sig", "shingles"])
-                else:
-                    hashes = band_hashes(sig, bands, rows)
-                    made = pa.array([h if len(s) else [] for h, s in zip(hashes, sets)], pa.list_(pa.int64()))
-                    sizes = pa.array([len(s) for s in sets], pa.int64())
-                    sketch = pa.array(list(sketches(sig)), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*kept, made, sizes, sketch], [*names, "bands", "size", "sketch"])
+                hashes = band_hashes(sig, bands, rows)
+                made = pa.array([h if len(s) else [] for h, s in zip(hashes, sets)], pa.list_(pa.int64()))
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                sketch = pa.array(list(sketches(sig)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept, made, sizes, sketch], [*names, "bands", "size", "sketch"])
 
     return run
 
 
-def _compared(k: int, least: float):
+def _shingled(words: int):
+    """Arrow batches of ``id, text`` to ``id, size, shingles``: the sorted distinct shingle hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            estimates, exact = [], []
-            sides = zip(*(batch.column(c) for c in ("sig_a", "sig_b", "shingles_a", "shingles_b")))
-            for sig_a, sig_b, set_a, set_b in (map(lambda x: x.as_py(), row) for row in sides):
-                same = float((np.frombuffer(sig_a, np.uint32) == np.frombuffer(sig_b, np.uint32)).sum()) / k
-                estimates.append(same)
-                if same < least:
-                    exact.append(0.0)
-                    continue
-                x, y = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                exact.append(both / max(1, len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(estimates, pa.float64()), pa.array(exact, pa.float64())], ["a", "b", "estimate", "similarity"])
+            sets = [np.unique(shingler(text.as_py())) for text in batch.column("text")]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", "size", "shingles"])
 
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, size, shingles`` to one row ``id, size, token`` for each shingle."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_py(), np.int64) for s in batch.column("shingles")]
+        for begin in range(0, len(sets), 256):
+            some = sets[begin : begin + 256]
+            n = [len(s) for s in some]
+            ids, sizes = (np.repeat(batch.column(c).to_numpy()[begin : begin + 256], n) for c in ("id", "size"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(np.concatenate(some))], ["id", "size", "token"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact Jaccard similarity of pairs of shingle sets."""
+    for batch in batches:
+        exact = []
+        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            exact.append(both / max(1, len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(exact, pa.float64())], ["a", "b", "similarity"])
+
+
 def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc`` (the row), ``id, h1, h2, text``: the id, or a hash of the text where it is null, and two hashes of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -203,73 +211,105 @@ def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc", F.coalesce("given", "h1").alias("id"), "h1", "h2", "text")
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
-    """``a, b, estimate, similarity`` of pairs of ids; ``texts`` holds ``id, sig, shingles``."""
-    left = texts.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("shingles_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("shingles_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b")
-    return both.mapInArrow(_compared(bands * rows, least), "a long, b long, estimate double, similarity double")
+def verified_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of pairs of ids; ``texts`` holds ``id, shingles``."""
+    left = texts.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compared, LINKS)
+
+
+def overlapping_prefixes(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b``: pairs of different roots of which one is loose, without losing any that is similar.
+
+    ``members`` is ``id, root, loose`` (one row an id), ``texts`` holds ``id, size, shingles``. All sets are put in one order,
+    rare shingles first. Similar sets x and y have ``need = ceil(t / (1 + t) (|x| + |y|))``
+    shingles in common, and all of them stand at or after the first common one, so in both sets
+    at least ``need`` places are left there. Hence the first common shingle is among the first
+    ``|x| - ceil(t |x|) + 1`` of either, and in the smaller set (in both, if equal) among the
+    first ``|x| - ceil(2 t / (1 + t) |x|) + 1``, its head. Shingles that only one member has
+    count as places and take part in nothing.
+    """
+    rows = texts.join(members.select("id"), "id").select("id", "size", "shingles").mapInArrow(_shingle_rows, "id long, size long, token long")
+    rows = stored(rows, "shingle-rows")
+    counts = stored(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    held = rows.join(counts, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    unshared = F.col("size") - F.size("tokens")
+    # Rounding in floating point must not cut a place off, hence the small amount taken away before rounding up.
+    up = lambda c: F.ceil(c - 1e-9)
+    head, prefix = (F.col("size") - up(F.col("size") * t) + 1 for t in (2 * threshold / (1 + threshold), threshold))
+    first = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), prefix - unshared).cast("int"))
+    placed = held.join(members, "id").select("id", "size", "root", "loose", unshared.alias("unshared"), head.alias("head"), F.posexplode(first).alias("at", "shingle"))
+    place = F.col("unshared") + F.col("at")
+    placed = placed.select("id", "size", "root", "loose", F.col("shingle.token").alias("token"), place.alias("place"), (place < F.col("head")).alias("in_head"))
+    # The first common shingle is in the head of one of the two: heads meet heads (0), loose heads tails (1), loose tails heads (2).
+    meets = lambda tails, heads: F.explode(F.when(F.col("in_head"), F.array(F.lit(0), F.lit(heads))).otherwise(F.array(F.lit(tails)))).alias("meets")
+    loose = placed.where("loose").select("token", meets(2, 1), *[F.col(c).alias(f"{c}0") for c in ("id", "root", "size", "place")])
+    every = placed.select("token", meets(1, 2), "id", "root", "size", "place", "loose")
+    need = up((F.col("size") + F.col("size0")) * (threshold / (1 + threshold)))
+    fits = F.least(F.col("size") - F.col("place"), F.col("size0") - F.col("place0")) >= need
+    once = ~F.col("loose") | (F.col("id") < F.col("id0"))
+    # Both sides are stored, so that Spark can split large partitions of either.
+    pairs = stored(every, "prefixes").join(stored(loose, "loose-prefixes"), ["token", "meets"]).where((F.col("root") != F.col("root0")) & once & fits)
+    return pairs.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
 
 
 def similar_links(
     base: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS,
-    least: float = LEAST_ESTIMATE,
 ) -> DataFrame:
-    """``a, b, estimate, similarity``: verified links from ``nodes`` (``id, bands, size, sketch``) and ``base`` (``id, text``).
+    """``a, b, similarity``: verified links from ``nodes`` (``id, bands, size, sketch``) and ``base`` (``id, text``).
 
-    First the members of a bucket are compared with its leader. Then, in buckets with members
-    of several classes, those outside the largest class are compared with all members of
-    other classes. So the result has every link that joins classes but not every pair inside one.
+    First the members of a bucket are compared with its leader. Then, where the others of a bucket are in
+    several classes, those outside the largest class are compared with all members of other
+    classes. So the result has every link that joins classes but not every pair inside one.
     """
     spark, registers, matches = base.sparkSession, bands * rows, least_matches(threshold, bands * rows)
-    buckets = nodes.select("id", "size", "sketch", F.explode("bands").alias("bucket"))
-    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "bucket-sizes")
-    shared = stored(buckets.join(sizes, "bucket"), "shared-buckets")
+    dropped: list[str] = []
+
+    def kept(rows_: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        dropped.append(path)
+        return stored(rows_, name, path)
+
+    each = nodes.select(F.explode("bands").alias("bucket"), "id")
+    sizes = kept(each.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "bucket-sizes")
+    shared = kept(each.join(sizes, "bucket"), "shared-buckets")
     if shared.isEmpty():
         return spark.createDataFrame([], LINKS)
     # Who shares buckets with most others leads: the text that many copies were made from is like them all,
     # while two copies may be less like each other.
     company = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company"))
     order = -F.col("company") * 1_048_576 + F.pmod(F.xxhash64("bucket", "id"), F.lit(1_048_576))
-    buckets = stored(shared.join(company, "id").select("bucket", order.alias("order"), "id", "size", "sketch"), "bucket-members")
-    rows_ = base.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(
-        _signed(bands, rows, words, True), "id long, sig binary, shingles binary"
-    )
-    texts = stored(rows_, "candidate-shingles")
-    # Sets whose sizes differ by more cannot be similar: the smaller would have to hold `threshold` of the larger.
-    near = (F.col("size") >= threshold * F.col("size0")) & (F.col("size0") >= threshold * F.col("size"))
-    near = near & (sketch_matches(F.col("sketch"), F.col("sketch0"), registers) >= matches)
-    pair = (F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b"))
+    buckets = kept(shared.join(company, "id").select("bucket", "id", order.alias("order")), "bucket-members")
+    wanted = base.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "text")
+    texts = kept(wanted.mapInArrow(_shingled(words), "id long, size long, shingles binary"), "candidate-shingles")
 
-    def verified(held: DataFrame, name: str) -> tuple[DataFrame, str]:
-        held, path = stored(held.distinct(), f"compared-with-{name}"), shared_path(spark, "links")
-        found = verified_pairs(held, texts, bands, rows, least).where(F.col("similarity") >= threshold)
-        return stored(found, "links", path), path
-
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("order", "id", "size", "sketch")).alias("first"))
     # A table of its own, so that Spark can split the partition of a very large bucket.
-    leaders = stored(leaders.select("bucket", F.col("first.id").alias("id0"), F.col("first.size").alias("size0"), F.col("first.sketch").alias("sketch0")), "bucket-leaders")
-    alike, led = verified(buckets.join(leaders, "bucket").where((F.col("id") != F.col("id0")) & near).select(*pair), "leaders")
-    roots = stored(components(alike), "roots-of-leaders")
-    buckets = buckets.join(roots, "id", "left").select("bucket", "id", "size", "sketch", F.coalesce("root", "id").alias("root"))
-    buckets = stored(buckets, "members-with-roots")
-    # Who is not of the bucket's largest class is held against all members of other classes, the settled ones as well.
-    classes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("order", "id"))["id"].alias("id0"))
+    leaders = kept(leaders, "bucket-leaders")
+    others = kept(buckets.join(leaders, "bucket").where("id <> id0").select("bucket", "id", "id0"), "bucket-others")
+    pairs = others.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
+    # Sets whose sizes differ by more cannot be similar: the smaller would have to hold `threshold` of the larger.
+    near = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
+    near = near & (sketch_matches(F.col("sketch_a"), F.col("sketch_b"), registers) >= matches)
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    pairs = kept(pairs.where(near).select("a", "b"), "compared-with-leaders")
+    led = shared_path(spark, "links")
+    alike = stored(verified_pairs(pairs, texts).where(F.col("similarity") >= threshold), "links", led)
+
+    # The leader has been held against all; the rest of a bucket is settled if it is one class.
+    roots = kept(components(alike), "roots-of-leaders")
+    rest = kept(others.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), "members-with-roots")
+    classes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
     classes = classes.agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("most < members")
-    parts, loose_parts = F.ceil(F.col("members") / CELL), F.ceil((F.col("members") - F.col("most")) / CELL)
-    classes = stored(classes.select("bucket", "main", parts.cast("int").alias("parts"), loose_parts.cast("int").alias("loose_parts")), "open-buckets")
-    still = buckets.join(classes, "bucket")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    loose = still.where(F.col("root") != F.col("main")).withColumn("part", every("parts")).withColumn("loose_part", dealt("loose_parts"))
-    loose = loose.select("bucket", "part", "loose_part", F.col("id").alias("id0"), F.col("root").alias("root0"), F.col("size").alias("size0"), F.col("sketch").alias("sketch0"))
-    all_ = still.withColumn("loose_part", every("loose_parts")).withColumn("part", dealt("parts"))
-    all_ = all_.select("bucket", "part", "loose_part", "id", "root", "main", "size", "sketch")
-    unlike = (F.col("root") != F.col("root0")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("id0")))
-    # Both sides are stored, so that Spark can split large partitions of either.
-    held = stored(all_, "cell-members").join(stored(loose, "cell-loose"), ["bucket", "part", "loose_part"]).where(unlike & near).select(*pair)
-    _, rest = verified(held, "all")
-    return spark.read.schema(LINKS).parquet(led, rest).dropDuplicates(["a", "b"])
+    open_ = rest.join(kept(classes.select("bucket", "main"), "open-buckets"), "bucket")
+    members = kept(open_.groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("loose")), "open-members")
+    rest_path = shared_path(spark, "links")
+    found = verified_pairs(stored(overlapping_prefixes(members, texts, threshold), "compared-with-all"), texts)
+    stored(found.where(F.col("similarity") >= threshold), "links", rest_path)
+    for path in dropped:
+        delete_path(spark, path)
+    return spark.read.schema(LINKS).parquet(led, rest_path).dropDuplicates(["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,7 +352,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``id, h1, h2, class_id``: one row per document; its id (see ``with_ids``), text hashes and class."""
     base = with_ids(docs, id_col, text_col)
-    keyed = base.select("id", "h1", "h2", "text").mapInArrow(_signed(bands, rows, words, False), "id long, h1 long, h2 long, bands array<long>, size long, sketch array<long>")
+    keyed = base.select("id", "h1", "h2", "text").mapInArrow(_signed(bands, rows, words), "id long, h1 long, h2 long, bands array<long>, size long, sketch array<long>")
     keyed = stored(keyed, "bands")
     copies = stored(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
     members = keyed.join(copies, ["h1", "h2"])

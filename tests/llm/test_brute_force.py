@@ -85,7 +85,7 @@ def test_settled_members_of_a_bucket_are_compared(spark):
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
     assert all(alike(0, a) and alike(a, b) and not alike(0, b) for a, b in want)
     texts = spark.createDataFrame(rows, "id long, text string")
-    signed = texts.selectExpr("id", "text").mapInArrow(near_dedup._signed(26, 5, 5, False), "id long, bands array<long>, size long, sketch array<long>")
+    signed = texts.selectExpr("id", "text").mapInArrow(near_dedup._signed(26, 5, 5), "id long, bands array<long>, size long, sketch array<long>")
     # One bucket for all, and one more each of which the leader is a member: nothing else joins A and B.
     bands = near_dedup.F.when(near_dedup.F.col("id") == 0, near_dedup.F.array([near_dedup.F.lit(n) for n in (7, 8)])).when(near_dedup.F.col("id") == 1, near_dedup.F.array(near_dedup.F.lit(7), near_dedup.F.lit(8)))
     nodes = signed.withColumn("bands", near_dedup.F.coalesce(bands, near_dedup.F.array(near_dedup.F.lit(7))).cast("array<long>")).cache()
@@ -415,3 +415,27 @@ def test_sha_of_kept_text(spark, data, texts):
     for r in rows:
         if r["n_dropped"] == 0:
             assert r["kept_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_prefix_filter_loses_no_similar_pair(spark, threshold):
+    """Families of sets of many sizes, some with common rare shingles: every similar pair of unlike roots comes out."""
+    draw, sets = np.random.default_rng(21), {}
+    for family in range(12):
+        base = draw.choice(10**6, draw.integers(1, 120), replace=False)
+        for _ in range(25):
+            kept = base[draw.random(len(base)) > draw.choice([0, 0.02, 0.1, 0.3])]
+            own = draw.choice(10**6 if family % 2 else 300, draw.integers(0, 1 + len(base) // 5), replace=False) + 2 * 10**6
+            some = np.unique(np.concatenate([kept, own]))
+            if len(some):
+                sets[len(sets)] = some.astype(np.uint64)
+    rows = [(i, len(s), s.tobytes()) for i, s in sets.items()]
+    members = [(i, i // 3, bool(draw.random() < 0.6)) for i in sets]
+    texts = spark.createDataFrame(rows, "id long, size long, shingles binary")
+    info = {i: (root, loose) for i, root, loose in members}
+    found = near_dedup.overlapping_prefixes(spark.createDataFrame(members, "id long, root long, loose boolean"), texts, threshold)
+    got = {tuple(r) for r in found.collect()}
+    plain = {i: set(s.tolist()) for i, s in sets.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and info[a][0] != info[b][0] and (info[a][1] or info[b][1]) and len(plain[a] & plain[b]) >= threshold * len(plain[a] | plain[b])}
+    assert len(want) > 100 and want <= got
+    assert all(info[a][0] != info[b][0] for a, b in got) and len(got) < 0.5 * len(sets) ** 2 / 2
