@@ -37,21 +37,41 @@ REMEMBERED = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-# Kinds of bytes: ASCII letters, first bytes of the Latin letters above ASCII, signs that end a word for the tokenizer.
-_LETTER, _LATIN, _SIGN = (np.zeros(256, bool) for _ in range(3))
+# Kinds of bytes: ASCII letters, signs that end a word for the tokenizer.
+_LETTER, _SIGN = (np.zeros(256, bool) for _ in range(2))
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_LATIN[0xC3:0xCA] = True
-_SIGN[list(b".,;:!?$&#%*()=+/-")] = True
+_SIGNS = ".,;:!?$&#%*()=+/-"
+_SIGN[list(_SIGNS.encode())] = True
+#: The Latin letters above ASCII that two bytes of UTF-8 hold, with the few other characters between them.
+_LATIN = range(0xC0, 0x280)
+
+
+def letters_before_signs(tokenizer) -> np.ndarray:
+    """By code point below 2048: the characters of ``_LATIN`` that this tokenizer always parts from a sign after them.
+
+    Asked of its normalizer and its way to part words: a letter whose lower case ends in a
+    mark (the capital I with a dot) is not one of them, nor is an arithmetic sign.
+    """
+    parts = np.zeros(2048, bool)
+    if tokenizer.pre_tokenizer is None:
+        return parts
+    normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    for code in _LATIN:
+        texts = [normal(before + chr(code) + sign) for before in ("", "a") for sign in _SIGNS]
+        pieces = [tokenizer.pre_tokenizer.pre_tokenize_str(t) for t in texts]
+        letter = normal(chr(code))[-1:].isalpha()
+        parts[code] = letter and all(found and found[-1][1][0] == len(t) - 1 for t, found in zip(texts, pieces))
+    return parts
 
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit integers, with a memory of words.
 
-    For tokenizers that drop white space and lower-case, and never join a letter with a sign
+    For tokenizers that drop white space, lower-case and never join an ASCII letter with a sign
     after it, the ids of a text are those of its words and trailing signs in a row. ``split``
     says so; without it whole texts are encoded. Words are cut at the plain space, the line
-    break and between a Latin letter and a sign only; anything else stays inside a word and is
-    left to the tokenizer. A text's new words are encoded in one call and told apart by the
+    break and between a sign and an ASCII letter, or one of ``letters_before_signs``, before it; anything
+    else stays inside a word and is left to the tokenizer. A text's new words are encoded in one call and told apart by the
     tokens' places.
     """
 
@@ -59,6 +79,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split, self.remembered = Tokenizer.from_file(path), split, remembered
+        self.parted = letters_before_signs(self.tokenizer)
         self.words: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
@@ -77,8 +98,7 @@ class WordIds:
                 self.words.update(zip(fresh, self._ids([w.decode() for w in fresh])))
         return b"".join(map(self.words.__getitem__, words))
 
-    @staticmethod
-    def _words(raw: bytes) -> list[bytes]:
+    def _words(self, raw: bytes) -> list[bytes]:
         # Not where a mark could join a small letter only, nor where special tokens might be spelled in capitals.
         if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:
             raw = raw.lower()
@@ -87,7 +107,8 @@ class WordIds:
         at = at[at > 1]
         if len(at):
             last, first = data[at - 1], data[at - 2]
-            latin = (last >= 0x80) & _LATIN[first] & ~((first == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+            two_bytes = (last >= 0x80) & (first >= 0xC0) & (first < 0xE0)
+            latin = two_bytes & self.parted[(first & 0x1F).astype(np.int64) << 6 | (last & 0x3F)]
             raw = np.insert(data, at[_LETTER[last] | latin], 32).tobytes()
         return raw.replace(b"\n", b" ").split(b" ")
 

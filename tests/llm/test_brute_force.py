@@ -211,7 +211,12 @@ def test_word_memory_gives_the_tokenizers_ids():
     tokenizer, memory, draw = Tokenizer.from_file(path), packing.WordIds(path, remembered=50), random.Random(1)
     alphabet = "aAéÉ'Σσς.,!$<|>1٣²ªº́ \n\t 你×"
     odd = ["It's DON'T we'll.. 'em", "<|endoftext|> a<|startoftext|>b ab<|endoftext|>.", "J̌ İstanbul ǅ ﬁ ŉ ſ ß ẞ", "x" * 3000, "", " \n", "a\x1cb\x85c"]
-    for text in odd + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(2000)]:
+    # Every letter with an odd lower case, marks, signs of all kinds, and parts of special tokens.
+    hard = [chr(c) for c in range(0xC0, 0x280) if len(chr(c).lower()) > 1 or chr(c).lower().upper() != chr(c).upper()]
+    hard += [*"İıſßŉǅǰΐKÅẞﬁ×÷ªº", *"\u0307\u0301\u030c\u0345", *".,;:!?$&#%*()=+/-", *"<|>", "<|endoftext|>", "endoftext", " ", "a", "A", "9", "'s"]
+    mixed = ["".join(draw.choice(hard) for _ in range(draw.randint(1, 12))) for _ in range(20_000)]
+    every = [before + chr(c) + sign + after for c in range(0xA0, 0x600) for before in ("", "a", "İ") for sign in ".-(" for after in ("", "b")]
+    for text in odd + ["AKSARAYLİ, evet"] + mixed + every + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(2000)]:
         assert memory.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
