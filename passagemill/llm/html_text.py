@@ -17,8 +17,9 @@ comments and not one site's template. Inference covers every page, whole.
 
 Defined results: a null or empty page has an empty text; unclosed and crossing tags, cut-off
 pages and unknown elements are read as far as they go; a head ends where something comes that
-cannot stand in it; ``svg``, ``select``, ``button`` and the like end at their end tag or, if
-they have none, at the next block; character references are decoded,
+cannot stand in it; ``svg``, ``select``, ``button``, ``noscript``, ``iframe``, ``template`` and the like end at their end tag or, if
+they have none, at the next block; an inline element stays in its block's text whatever its class says; a quote
+opens a value only after an equals sign; parsing takes time in proportion to the page, however deep it nests; character references are decoded,
 also at the end; text within ``script``, ``style`` and the like never counts; rows that
 repeat are extracted each on its own; extra columns are ignored. If no page gives an
 example the model is trained on built-in sentences.
@@ -27,6 +28,7 @@ example the model is trained on built-in sentences.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -36,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_PAGES = 150
+MOST_PAGES, MOST_CHARS = 150, 20_000
 
 # Elements by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist button textarea".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
@@ -79,8 +81,11 @@ GROUPS = [*dict.fromkeys(TAG_GROUPS.values()), "other"]
 FEATURES = [*GROUPS, *(f"hint:{k}" for k in KINDS), "in content", "in boilerplate", "header in content", "links", "short", "middle", "long", "sentence", "sign", "bias"]
 AT = {name: i for i, name in enumerate(FEATURES)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))")
+# A quote opens a value only right after the equals sign; elsewhere in a tag it is a character like others.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>|\Z)))*+)(?:>|\Z)""", re.S
+)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+))""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -111,45 +116,106 @@ def hints_of(raw: str, labels: bool = False) -> tuple[frozenset, int | None]:
     return frozenset(kinds), label
 
 
-def parse(page: str, labels: bool = False) -> list[Node]:
-    """Nodes in page order, parents before children; text runs are leaves with their white space collapsed."""
-    unclosed: set[int] = set()
+def tokens(page: str) -> list[tuple]:
+    """``start, end, closing, tag, attributes`` of the page's tags, in order; a raw element reaches to its end tag."""
+    found, at, ends = [], 0, {}
     while True:
-        nodes, found = parse_once(page, labels, unclosed)
-        if found <= unclosed:
-            return nodes
-        unclosed |= found
+        token = TOKEN.search(page, at)
+        if not token:
+            return found
+        at = token.end()
+        tag = (token[2] or "").lower()
+        if tag in RAW and not token[1]:
+            end = ends.setdefault(tag, re.compile(rf"</{tag}\s*[^>]*>", re.I)).search(page, at)
+            at = end.end() if end else len(page)
+        found.append((token.start(), at, bool(token[1]), tag, token[3]))
+
+
+def unclosed(marks: list[tuple]) -> set[int]:
+    """Places of skipped elements without an end tag of their own; starts and ends of one kind are matched like brackets."""
+    open_: dict[str, list[int]] = {}
+    for start, _, closing, tag, _ in marks:
+        if tag in SKIPPED and tag not in RAW and tag != "head":
+            held = open_.setdefault(tag, [])
+            if not closing:
+                held.append(start)
+            elif held:
+                held.pop()
+    return {start for held in open_.values() for start in held}
+
+
+class Stack:
+    """The open elements. Each question about them is answered from counts, not by a search."""
+
+    def __init__(self, root: Node) -> None:
+        self.items: list[tuple[str, Node]] = [("#root", root)]
+        self.places: dict[str, list[int]] = {}  # the depths of the open elements of a tag
+        self.blocks = [1]  # elements that are not inline, up to each depth
+        self.walls: list[int] = []  # depths of tables and skipped elements, which a paragraph's end does not cross
+        self.hidden: list[int] = []  # depths of skipped elements but the head
+        self.doubtful: list[int] = []  # of these, the ones without an end tag
+        self.marked: list[tuple[int, frozenset]] = []  # depths and kinds of inline elements that name a part of a page
+
+    def push(self, tag: str, node: Node, doubtful: bool = False, marks: frozenset = frozenset()) -> None:
+        depth = len(self.items)
+        self.items.append((tag, node))
+        self.places.setdefault(tag, []).append(depth)
+        self.blocks.append(self.blocks[-1] + (tag not in INLINE))
+        hides = tag in SKIPPED and tag != "head"
+        for held, true in ((self.walls, hides or tag == "table"), (self.hidden, hides), (self.doubtful, doubtful)):
+            if true:
+                held.append(depth)
+        if marks:
+            self.marked.append((depth, marks))
+
+    def depth(self, tag: str) -> int:
+        """Of the innermost open element of this tag; 0 if there is none."""
+        held = self.places.get(tag)
+        return held[-1] if held else 0
+
+    def cut(self, depth: int) -> None:
+        for tag, _ in self.items[depth:]:
+            self.places[tag].pop()
+        del self.items[depth:], self.blocks[depth:]
+        for held in (self.walls, self.hidden, self.doubtful):
+            while held and held[-1] >= depth:
+                held.pop()
+        while self.marked and self.marked[-1][0] >= depth:
+            self.marked.pop()
 
 
-def parse_once(page: str, labels: bool, unclosed: set[int]) -> tuple[list[Node], set[int]]:
-    """Nodes, and the places of skipped elements that no end tag of their own has closed; those in ``unclosed`` end at the next block."""
-    open_at: dict[int, int] = {}  # skipped elements that are open, by their node: the place
-    never_closed: set[int] = set()
+def parse(page: str, labels: bool = False) -> list[Node]:
+    """Nodes in page order, parents before children; text runs are leaves with their white space collapsed.
+
+    An inline element is part of its block's text whatever it is called; a run that lies in inline
+    elements altogether takes the kinds of their names as its own.
+    """
+    marks = tokens(page)
+    without_end = unclosed(marks)
     root = Node("#root", None)
-    nodes, stack, pieces, at = [root], [("#root", root)], [], 0
-    anchors, link_chars = 0, 0
+    nodes, stack, pieces, at = [root], Stack(root), [], 0
+    kinds: list[frozenset] = []  # of the inline names around each piece that is not blank
+    link_chars = 0
 
     def close_run() -> None:
         nonlocal link_chars
         text = " ".join("".join(pieces).split())
         if text:
-            leaf = Node("#text", stack[-1][1])
+            leaf = Node("#text", stack.items[-1][1], frozenset().union(*kinds) if all(kinds) else frozenset())
             leaf.text, leaf.size, leaf.link_size = text, len(text), min(len(text), link_chars)
             nodes.append(leaf)
         pieces.clear()
+        kinds.clear()
         link_chars = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal anchors
-        if any(node is not stack[depth - 1][1] for _, node in stack[depth:]):
+        if stack.blocks[-1] > stack.blocks[depth - 1]:
             close_run()
-        anchors -= sum(tag == "a" for tag, _ in stack[depth:])
-        never_closed.update(open_at.pop(id(node)) for _, node in stack[depth:] if id(node) in open_at)
-        del stack[depth:]
+        stack.cut(depth)
 
     def leave_head() -> None:
-        depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "head"), 0)
-        if depth:
+        depth = stack.depth("head")
+        if depth and not (stack.hidden and stack.hidden[-1] > depth):
             pop_to(depth)
 
     def say(raw: str) -> None:
@@ -158,101 +224,104 @@ def parse_once(page: str, labels: bool, unclosed: set[int]) -> tuple[list[Node],
             text = html.unescape(raw)
             if text.strip():
                 leave_head()
+                kinds.append(stack.marked[-1][1] if stack.marked else frozenset())
             pieces.append(text)
-            if anchors:
+            if stack.depth("a"):
                 link_chars += len(text.strip())
 
-    size = len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        if not found:
-            say(page[at:])
-            break
-        say(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
+    for start, end, closing, tag, attributes in marks:
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        if found[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-            if depth and not (tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :])):
-                open_at.pop(id(stack[depth][1]), None)
+        if closing:
+            depth = stack.depth(tag)
+            if depth and not (tag in INLINE and stack.blocks[-1] > stack.blocks[depth]):
                 pop_to(depth)
             continue
+        if stack.doubtful and tag in BLOCKS:
+            pop_to(stack.doubtful[0])
         if tag not in IN_HEAD:
             leave_head()
-        if unclosed and tag in BLOCKS:
-            depth = next((d for d in range(1, len(stack)) if open_at.get(id(stack[d][1])) in unclosed), 0)
-            if depth:
-                pop_to(depth)
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        if tag in SKIPPED and tag in RAW or tag in VOID:
+        if tag in RAW or tag in VOID:
             if tag not in INLINE:
                 close_run()
             continue
         if tag in ENDS_P:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p"), 0)
-            if depth and not any(t == "table" or id(node) in open_at for t, node in stack[depth:]):
+            depth = stack.depth("p")
+            if depth and not (stack.walls and stack.walls[-1] > depth):
                 pop_to(depth)
         if tag in SAME_LEVEL:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag or stack[d][0] in SAME_LEVEL[tag]), 0)
-            if depth and stack[depth][0] == tag:
+            depth = stack.depth(tag)
+            if depth and depth > max(map(stack.depth, SAME_LEVEL[tag])):
                 pop_to(depth)
-        hints, label = hints_of(found[3], labels) if found[3] else (frozenset(), None)
-        if tag in INLINE and not (hints - {"content"}):
-            stack.append((tag, stack[-1][1]))
-            anchors += tag == "a"
+        hints, label = hints_of(attributes, labels) if attributes else (frozenset(), None)
+        if tag in INLINE:
+            stack.push(tag, stack.items[-1][1], marks=hints - {"content"})
         else:
             close_run()
-            node = Node(tag, stack[-1][1], hints, label)
+            node = Node(tag, stack.items[-1][1], hints, label)
             nodes.append(node)
-            stack.append((tag, node))
-            if tag in SKIPPED and tag != "head":
-                open_at[id(node)] = found.start()
+            stack.push(tag, node, doubtful=start in without_end)
+    say(page[at:])
     close_run()
-    never_closed.update(open_at.values())
-    live = []
+    hidden: set[int] = set()
     for node in nodes:
-        up, skip = node, False
-        while up is not None and not skip:
-            skip, up = up.tag in SKIPPED, up.parent
-        if not skip:
-            live.append(node)
+        if node.tag in SKIPPED or id(node.parent) in hidden:
+            hidden.add(id(node))
+    live = [node for node in nodes if id(node) not in hidden]
     for node in reversed(live):
         if node.parent:
             node.parent.size += node.size
             node.parent.link_size += node.link_size
-    return [n for n in live if n.size or n.parent is None], never_closed
+    return [n for n in live if n.size or n.parent is None]
+
+
+_TAG_AT = {tag: AT[group] for tag, group in TAG_GROUPS.items()}
+_HINT_AT = {kind: AT[f"hint:{kind}"] for kind in KINDS}
+_TOLD = [AT[name] for name in ("in content", "in boilerplate", "header in content", "links", "short", "middle", "long", "sentence", "sign", "bias")]
+
+
+def facts(nodes: list[Node]) -> Iterator[list[tuple[int, float]]]:
+    """For each node its features that are not zero: place and value."""
+    content, boilerplate, header, links, short, middle, long, sentence, sign, bias = _TOLD
+    inside: dict[int, tuple[bool, bool]] = {}
+    for node in nodes:
+        found = [(_TAG_AT.get(node.tag, AT["other"]), 1.0), (bias, 1.0)]
+        found += [(_HINT_AT[kind], 1.0) for kind in node.hints]
+        within = apart = False
+        above = node.parent
+        if above:
+            before, apart = inside[id(above)]
+            within = before or above.tag in ("article", "main") or "content" in above.hints
+            apart = apart or above.tag in ("nav", "footer", "aside", "form") or bool(above.hints - {"content"}) or (above.tag == "header" and not before)
+            apart = apart or (node.tag == "#text" and bool(node.hints))
+        inside[id(node)] = within, apart
+        if apart:
+            found.append((boilerplate, 1.0))
+        elif within:
+            found.append((content, 1.0))
+        if within and node.tag == "header":
+            found.append((header, 1.0))
+        if node.link_size:
+            found.append((links, node.link_size / max(1, node.size)))
+        if node.tag == "#text":
+            found.append((short if node.size < 40 else middle if node.size < 160 else long, 1.0))
+            if node.text[-1] in ".!?…。":
+                found.append((sentence, 1.0))
+            if "©" in node.text or "|" in node.text:
+                found.append((sign, 1.0))
+        yield found
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((len(nodes), len(FEATURES)))
-    place = {id(n): i for i, n in enumerate(nodes)}
-    inside = np.zeros((len(nodes), 2), bool)
-    for i, node in enumerate(nodes):
-        row = x[i]
-        group = TAG_GROUPS.get(node.tag, "other")
-        row[AT[group]] = row[AT["bias"]] = 1
-        for kind in node.hints:
-            row[AT[f"hint:{kind}"]] = 1
-        if node.parent:
-            up = place[id(node.parent)]
-            inside[i] = inside[up]
-            above = node.parent
-            inside[i, 0] |= above.tag in ("article", "main") or "content" in above.hints
-            inside[i, 1] |= above.tag in ("nav", "footer", "aside", "form") or bool(above.hints - {"content"}) or (above.tag == "header" and not inside[up, 0])
-        row[AT["in content"]], row[AT["in boilerplate"]] = inside[i, 0] and not inside[i, 1], inside[i, 1]
-        row[AT["header in content"]] = node.tag == "header" and inside[i, 0]
-        row[AT["links"]] = node.link_size / max(1, node.size)
-        if node.tag == "#text":
-            row[AT["short"]], row[AT["middle"]], row[AT["long"]] = node.size < 40, 40 <= node.size < 160, node.size >= 160
-            row[AT["sentence"]] = node.text[-1] in ".!?…。"
-            row[AT["sign"]] = "©" in node.text or "|" in node.text
+    for row, found in zip(x, facts(nodes)):
+        for place, value in found:
+            row[place] = value
     return x
 
 
@@ -266,6 +335,11 @@ def edge_kind(node: Node) -> int:
     return 1 if node.hints - {"content"} or node.tag in ("nav", "header", "footer", "aside", "form") else 2
 
 
+def log_sum(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    return (a if a > b else b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class TreeModel:
     """``weights`` of the features and ``edge[kind][parent state][child state]``, both as log potentials."""
 
@@ -274,22 +348,26 @@ class TreeModel:
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """P(content) of each node by one upward and one downward pass."""
-        n = len(nodes)
-        own = np.zeros((n, 2))
-        own[:, 1] = features(nodes) @ self.weights
+        weights = self.weights.tolist()
+        own = [sum(weights[place] * value for place, value in found) for found in facts(nodes)]
         place = {id(node): i for i, node in enumerate(nodes)}
         parent = [place[id(node.parent)] if node.parent else -1 for node in nodes]
-        kind = [edge_kind(node) for node in nodes]
-        below, up = own.copy(), np.zeros((n, 2))
+        # Plain numbers: a page's nodes are visited one by one, where array operations on two values only cost time.
+        edges = [self.edge[edge_kind(node)].ravel().tolist() for node in nodes]
+        n = len(nodes)
+        below0, below1, up0, up1 = [0.0] * n, list(own), [0.0] * n, [0.0] * n
         for i in range(n - 1, 0, -1):
-            up[i] = np.logaddexp(self.edge[kind[i], :, 0] + below[i, 0], self.edge[kind[i], :, 1] + below[i, 1])
-            below[parent[i]] += up[i]
-        full = below.copy()
+            e, b0, b1, up = edges[i], below0[i], below1[i], parent[i]
+            up0[i], up1[i] = log_sum(e[0] + b0, e[1] + b1), log_sum(e[2] + b0, e[3] + b1)
+            below0[up] += up0[i]
+            below1[up] += up1[i]
+        full0, full1 = list(below0), list(below1)
         for i in range(1, n):
-            rest = full[parent[i]] - up[i]
-            down = np.logaddexp(self.edge[kind[i], 0] + rest[0], self.edge[kind[i], 1] + rest[1])
-            full[i] = below[i] + down
-        return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500)))
+            e, up = edges[i], parent[i]
+            rest0, rest1 = full0[up] - up0[i], full1[up] - up1[i]
+            full0[i] += log_sum(e[0] + rest0, e[2] + rest1)
+            full1[i] += log_sum(e[1] + rest0, e[3] + rest1)
+        return 1 / (1 + np.exp(np.clip(np.subtract(full0, full1), -500, 500)))
 
     def extract(self, page: str | None) -> str:
         if not page:
@@ -397,13 +475,16 @@ def training_texts(pages: list[str]) -> tuple[list[list[str]], list[str]]:
             else:
                 rest.append(node.text)
         if blocks:
-            articles.append(blocks[:40])
+            articles.append(blocks)
     return articles or [ANY_TEXT[i : i + 5] for i in range(0, len(ANY_TEXT), 5)], rest or SHORT
 
 
-def trained(pages: DataFrame, html_col: str = "html", most_pages: int = MOST_PAGES, seed: int = 7) -> TreeModel:
-    """A model from layouts over a sample of ``most_pages`` pages, those with the smallest hashes of moderate size."""
-    fit_size = pages.where((F.length(html_col) > 0) & (F.length(html_col) < 20_000)).select(F.col(html_col).alias("html"))
+def trained(pages: DataFrame, html_col: str = "html", most_pages: int = MOST_PAGES, seed: int = 7, most_chars: int = MOST_CHARS) -> TreeModel:
+    """A model from layouts over a sample: of the pages of at most ``most_chars`` characters the ``most_pages`` with the smallest hashes.
+
+    Both bounds hold for the sample alone, which comes to the driver; longer pages are extracted like all others.
+    """
+    fit_size = pages.where((F.length(html_col) > 0) & (F.length(html_col) <= most_chars)).select(F.col(html_col).alias("html"))
     # Hashes are sorted and not pages, so that no task sends more than `most_pages` numbers.
     least = [r["h"] for r in fit_size.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(most_pages).collect()]
     picked = fit_size.where(F.xxhash64("html").isin(least)).distinct() if least else fit_size.limit(0)

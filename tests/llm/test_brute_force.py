@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -380,6 +381,37 @@ def test_omitted_end_tags_and_labels_of_others(spark, data, page):
     assert model.extract(page) == TEXT
 
 
+LATER = "<p>Second words of a text, long enough to be kept.</p>"
+TOLD = "Second words of a text, long enough to be kept."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>See <a class='related'>the study</a> for <span class='author'>Ann</span> and more words.</p>", "See the study for Ann and more words."),
+        ("<article><p>Words <b class='promo'>in bold</b> and <i id=ad>more</i>.</p><p><span class='advert'>Only an advert is in this one</span></p></article>", "Words in bold and more."),
+        ("<body><p title=it's>First words of a text, long enough.</p>" + LATER, "First words of a text, long enough.\n" + TOLD),
+        ('<body><p data-x=a"b>First words of a text, long enough.</p>' + LATER, "First words of a text, long enough.\n" + TOLD),
+        ('<body><p data-x="a>b" title = \'c>d\' hidden=>First words of a text, long enough.</p>' + LATER, "First words of a text, long enough.\n" + TOLD),
+        *((f"<body><p>First words of a text, long enough.</p><{tag}>hidden words are here" + LATER, "First words of a text, long enough.\n" + TOLD) for tag in ("noscript", "iframe src=x", "template")),
+        ("<body><template>a hidden<template>inner words</template>outer hidden words are here, long enough</template>" + LATER, TOLD),
+        ("<body><template><p>hidden words</p><template><p>inner words, also hidden</p></template><p>outer hidden words are here</p></template>" + LATER, TOLD),
+        ("<head><noscript><iframe src=x></iframe><p>Hidden words, long enough.</p></noscript><title>t</title></head><body>" + LATER, TOLD),
+    ],
+)
+def test_inline_names_quotes_and_open_elements(spark, data, page, text):
+    model = html_text.trained(spark.read.parquet(f"{data}/pages.parquet"))
+    assert model.extract(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<svg>", "<select>", "<noscript>", "<p>", "<table>", "<a class=menu>", "</div>", "<p title=it's>", "<", "&am", "<svg></svg><p>"])
+def test_long_hostile_pages_take_time_in_proportion(unit):
+    model = html_text.fit(html_text.layouts(*html_text.training_texts([]), 7))
+    begun = time.time()
+    model.extract(unit * (1_000_000 // len(unit)) + LATER)
+    assert time.time() - begun < 15  # in proportion: a few seconds here
+
+
 def test_text_ends_an_open_head():
     assert [n.text for n in html_text.parse("<head><title>T</title> Plain words<p>More") if n.text] == ["Plain words", "More"]
 
