@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from passagemill.functions.text import CONTENT_LABEL, HEADING_LABEL, SOURCE_LABE
 from passagemill.functions.tokens import tokenize
 from passagemill.operators.encode import coverage_scorer
 from passagemill.operators.spread import unnest
+from passagemill.session import checkpoint_folder
 
 SCORE_DIGITS = 9  # ranks compare scores at this precision, ties go to the smaller id
 
@@ -87,6 +89,133 @@ def top_n(scores: DataFrame, n: int, score: str = "score", ties: str = "id") ->
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
 
 
+# ---- keyword top-n without all pairs -----------------------------------------------------------
+
+BLOCK_DOCS = 2048  # documents whose postings a task holds at a time
+SEED_POSTINGS = 2000  # a query's rarest terms are read for its threshold until they have this many postings
+SEEDS = 10  # documents scored for the threshold, as a multiple of the rows wanted
+_SLACK = 1e-8  # scores are compared after rounding, and sums depend on their order
+
+
+class _Postings:
+    """The postings of one block of documents, by term, with the largest gain of each term in the block."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.ids, places = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        codes, terms = pd.factorize(rows["term"])
+        order = np.argsort(codes, kind="stable")
+        starts = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+        self.places, self.gains = places[order], rows["gain"].to_numpy()[order]
+        largest = np.maximum.reduceat(self.gains, starts[:-1])
+        self.terms = {t: (a, b, m) for t, a, b, m in zip(terms, starts, starts[1:], largest)}
+
+    def best(self, asked: list[tuple[str, float]], least: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the documents that may be among the ``n`` best, none below ``least``.
+
+        Terms are added by falling largest gain. Once the terms to come cannot lift a document to
+        ``least`` by themselves, only documents that still can reach it are followed.
+        """
+        parts = sorted(((w * self.terms[t][2], w, *self.terms[t][:2]) for t, w in asked if t in self.terms), reverse=True)
+        rest = sum(bound for bound, *_ in parts)
+        none = np.empty(0, np.int64), np.empty(0)
+        if not parts or rest < least:
+            return none
+        scores, alive = np.zeros(len(self.ids)), None
+        for i, (bound, weight, a, b) in enumerate(parts):
+            places, gains = self.places[a:b], self.gains[a:b]
+            if alive is not None:
+                followed = alive[places]
+                places, gains = places[followed], gains[followed]
+            scores[places] += weight * gains
+            rest -= bound
+            if rest < least and (alive is None or i % 4 == 0):
+                alive = scores + rest >= least
+                if not alive.any():
+                    return none
+        found = np.flatnonzero((scores > 0) & (scores >= least))
+        if len(found) > n:
+            bar = np.partition(scores[found], len(found) - n)[len(found) - n] - _SLACK
+            found = found[scores[found] >= bar]
+        return found, scores[found]
+
+
+def _asked_lists(rows: pd.DataFrame) -> dict:
+    """For each query its terms with weights, and its threshold."""
+    return {q: (list(zip(g["term"], g["weight"])), float(g["least"].iloc[0])) for q, g in rows.groupby("query_id", sort=False)}
+
+
+def _block_scores(rows: pd.DataFrame, asked: dict, n: int) -> pd.DataFrame:
+    postings, out = _Postings(rows), []
+    for query, (terms, least) in asked.items():
+        places, scores = postings.best(terms, least, n)
+        if len(places):
+            out.append(pd.DataFrame({"query_id": query, "id": postings.ids[places], "score": scores}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+
+def bm25_candidates(index: KeywordIndex, asked: DataFrame, n: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``query_id, id, score``: exact scores of documents that hold all of each query's ``n`` best, and few others.
+
+    Documents are cut into blocks of about ``BLOCK_DOCS``; a task holds the asked terms' postings of
+    one block and scores it document by document, so pairs of query and document are never
+    shuffled. Two rounds: documents with a query's rarest terms are scored first, and the ``n``-th
+    best of them is a threshold no result can be below; then a block whose largest gains cannot add up to it is
+    skipped for that query. Up to ``BROADCAST_TERMS`` counted query terms travel to the
+    blocks; beyond that queries are cut into batches and each block meets each batch.
+    """
+    spark = index.postings.sparkSession
+    folder = f"{checkpoint_folder(spark)}/bm25-{uuid.uuid4().hex}"
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    asked = stored(asked, "asked")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    docs, mean = index.lengths.agg(F.count("*"), F.avg("length")).first()
+    blocks = max(1, -(-docs // BLOCK_DOCS))
+    norm = k1 * (1 - b + b * F.col("length") / (mean or 1.0))
+    wanted = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    gains = stored(wanted.select("id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("gain"), block), "gains")
+    terms = gains.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = stored(asked.join(terms, "term").select("query_id", "term", "df", (F.col("qtf") * idf).alias("weight")), "weighted")
+
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = weighted.withColumn("before", before).where(F.col("before") < SEED_POSTINGS).drop("before")
+    gained = F.sum(F.col("weight") * F.col("gain")).alias("score")
+    partial = gains.join(small(seeds), "term").groupBy("query_id", "id").agg(gained)
+    chosen = top_n(partial, SEEDS * n).select("query_id", "id")
+    full = chosen.join(small(weighted), "query_id").join(gains, ["id", "term"]).groupBy("query_id", "id").agg(gained)
+    least = top_n(full, n).where(F.col("rank") == n).select("query_id", (F.col("score") - _SLACK).alias("least"))
+    queries = weighted.join(least, "query_id", "left").select("query_id", "term", "weight", F.coalesce("least", F.lit(0.0)).alias("least"))
+
+    schema = T.StructType([queries.schema["query_id"], gains.schema["id"], T.StructField("score", T.DoubleType())])
+    if few:
+        shared = spark.sparkContext.broadcast(_asked_lists(queries.toPandas()))
+        return gains.groupBy("block").applyInPandas(lambda rows: _block_scores(rows, shared.value, n), schema)
+    batches = max(1, -(-asked.count() // BROADCAST_TERMS))
+    batch = F.pmod(F.xxhash64("query_id"), F.lit(batches)).alias("batch")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = gains.withColumn("batch", every(batches)).groupBy("block", "batch")
+    right = queries.withColumn("batch", batch).withColumn("block", every(blocks)).groupBy("block", "batch")
+
+    def match(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or some.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return _block_scores(rows, _asked_lists(some), n)
+
+    return left.cogroup(right).applyInPandas(match, schema)
+
+
+def bm25_top(index: KeywordIndex, asked: DataFrame, n: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The ``n`` best documents of each query: ``query_id, id, score, rank``."""
+    return top_n(bm25_candidates(index, asked, n, k1, b), n)
+
+
 # ---- dense leg ----------------------------------------------------------------------------
 
 BATCH_QUERIES = 4096  # queries held by a task at a time
@@ -268,7 +397,7 @@ def retrieve(
     """
     s = settings or RetrievalSettings()
     dense = top_n(dense_scores(vectors, query_vectors, s.per_leg()), s.per_leg())
-    keyword = top_n(bm25_scores(index, query_terms(queries, "query_id", "query")), s.per_leg())
+    keyword = bm25_top(index, query_terms(queries, "query_id", "query"), s.per_leg())
     recalled = fuse(dense, keyword, s.rerank_top_n, s.rrf_k)
     return above(rerank(recalled, queries, chunks, s.top_k, scorer), s.min_relevance_score)
 

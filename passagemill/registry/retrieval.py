@@ -100,11 +100,15 @@ def _bm25(index, asked) -> DataFrame:
     return R.bm25_scores(index, R.query_terms(asked, "query_id", "query"))
 
 
+def _bm25_top(index, asked, n: int) -> DataFrame:
+    return R.bm25_top(index, R.query_terms(asked, "query_id", "query"), n)
+
+
 def _legs(spark, folder, per_leg: int):
     chunks = inputs.vector_chunks(spark, folder)
     asked = inputs.short_queries(spark, folder)
     dense = R.top_n(R.dense_scores(chunks.select("id", "embedding"), inputs.query_vectors(spark, folder), per_leg), per_leg)
-    keyword = R.top_n(_bm25(_chunk_index(chunks), asked), per_leg)
+    keyword = _bm25_top(_chunk_index(chunks), asked, per_leg)
     return chunks, asked, dense, keyword
 
 
@@ -134,7 +138,7 @@ def _r2(spark, folder):
 
 @area.query("r3_bm25_top10", duck.with_(PASSAGES, *DOC_BM25, select="SELECT query_id, id, rank, round(score, 6) AS score FROM keyword WHERE rank <= 10"))
 def _r3(spark, folder):
-    best = R.top_n(_bm25(_doc_index(spark, folder), _passages(spark, folder)), 10)
+    best = _bm25_top(_doc_index(spark, folder), _passages(spark, folder), 10)
     return best.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -310,7 +314,7 @@ def _hits(source: str, keys: str = "") -> tuple[str, ...]:
     duck.with_(ASKED, QREL, *DOC_BM25, "top AS (SELECT * FROM keyword WHERE rank <= 10)", *_hits("top"), select="SELECT query_id, cast(k AS bigint) AS k, hit FROM hits"),
 )
 def _v2(spark, folder):
-    ranked = R.top_n(_bm25(_doc_index(spark, folder), inputs.short_queries(spark, folder)), 10)
+    ranked = _bm25_top(_doc_index(spark, folder), inputs.short_queries(spark, folder), 10)
     return V.hits_at(ranked, inputs.qrels(spark, folder), V.report_ks(_KS, 10))
 
 
@@ -324,7 +328,7 @@ def _v2(spark, folder):
     ),
 )
 def _v3(spark, folder):
-    ranked = R.top_n(_bm25(_doc_index(spark, folder), inputs.short_queries(spark, folder)), 10)
+    ranked = _bm25_top(_doc_index(spark, folder), inputs.short_queries(spark, folder), 10)
     judged = inputs.qrels(spark, folder).withColumn("position", F.col("id"))
     details = V.recall_details(ranked, judged, V.report_ks(_KS, 10))
     return details.withColumn("predicted", F.array_join("predicted", ","))
@@ -338,7 +342,7 @@ _RECALL = "SELECT {m}cast(k AS bigint) AS k, cast(sum(hit) AS bigint) AS hits, c
     duck.with_(PASSAGES, QREL, *DOC_BM25, "top AS (SELECT * FROM keyword WHERE rank <= 10)", *_hits("top"), select=_RECALL.format(m="")),
 )
 def _v4(spark, folder):
-    ranked = R.top_n(_bm25(_doc_index(spark, folder), _passages(spark, folder)), 10)
+    ranked = _bm25_top(_doc_index(spark, folder), _passages(spark, folder), 10)
     hits = V.hits_at(ranked, inputs.qrels(spark, folder), V.report_ks(_KS, 10))
     return V.recall_at(hits).withColumn("recall", F.round("recall", 6))
 

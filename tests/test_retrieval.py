@@ -50,6 +50,35 @@ def test_bm25(monkeypatch, spark, corpus, bound):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("n, block, seed, bound", [(4, 2048, 2000, 200_000), (1, 7, 3, 200_000), (4, 7, 3, 7), (200, 7, 3, 7), (200, 2048, 2000, 200_000)])
+def test_bm25_top_equals_all_pairs(monkeypatch, spark, corpus, n, block, seed, bound):
+    """Thresholds, skipped blocks, batches of queries, ties and repeated documents: the same rows as from all scores."""
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", bound)
+    monkeypatch.setattr(retrieve, "BLOCK_DOCS", block)
+    monkeypatch.setattr(retrieve, "SEED_POSTINGS", seed)
+    docs, asked = corpus
+    docs = docs + [(100 + i, docs[3][1]) for i in range(9)]
+    index = retrieve.keyword_index(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"))
+    asked = asked + [(50, "nowhere"), (51, ""), (52, docs[3][1])]
+    terms = retrieve.query_terms(spark.createDataFrame(asked, "query_id long, query string"), "query_id", "query")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieve.bm25_top(index, terms, n).collect()}
+    want = {}
+    for q, text in asked:
+        best = sorted((-round(s, 9), i) for i, s in brute(docs, text).items())[:n]
+        want |= {(q, r): (i, -s) for r, (s, i) in enumerate(best, 1)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_bm25_top_follows_few_pairs(monkeypatch, spark, data):
+    """Far fewer pairs leave the blocks than share a term."""
+    monkeypatch.setattr(retrieve, "BLOCK_DOCS", 64)
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = retrieve.keyword_index(docs, "doc_id", F.col("text"))
+    terms = retrieve.query_terms(items, "item_id", "text").cache()
+    assert 5 * retrieve.bm25_candidates(index, terms, 10).count() < retrieve.bm25_scores(index, terms).count()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
