@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.keys import ingest_key, source_or_default, title_or_default
 from passagemill.functions.predicates import catalogue_match
 from passagemill.functions.text import norm
+from passagemill.operators.positions import between
 from passagemill.operators.spread import dense_ids
 
 # Where a catalogue row comes from, and the states of the index.
@@ -126,5 +127,5 @@ def page(catalogue: DataFrame, keyword: str = "", number: int = 1, size: int = 1
     number, size = max(number, 1), min(max(size, 1), 50)
     hits = catalogue.where(catalogue_match(keyword))
     total = hits.agg(F.count("*")).scalar()
-    rows = hits.orderBy(F.col("updated_at").desc(), F.col("id").desc()).offset((number - 1) * size).limit(size)
+    rows = between(hits, [F.col("updated_at").desc(), F.col("id").desc()], (number - 1) * size, size)
     return rows.withColumn("total", total)

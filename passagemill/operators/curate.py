@@ -15,6 +15,7 @@ from passagemill.functions.keys import hash_mod
 from passagemill.functions.predicates import TOPIC_KEYWORDS, filled, mentions_any
 from passagemill.functions.prompts import training_prompt, user_text
 from passagemill.functions.text import collapse_spaces, norm, question_of_prompt
+from passagemill.operators.positions import between
 from passagemill.operators.spread import computed_once, first_rows
 
 # ---- question/answer records -------------------------------------------------------------------
@@ -78,8 +79,7 @@ def distinct_questions(rows: DataFrame, question: str, order: Sequence[str]) ->
 
 def sliced(rows: DataFrame, order: Sequence[str], start: int = 0, most: int = 0) -> DataFrame:
     """Rows from position ``start``, at most ``most`` of them (0 = all)."""
-    out = rows.orderBy(*order).offset(max(start, 0))
-    return out.limit(most) if most > 0 else out
+    return between(rows, [F.col(c) for c in order], start, most)
 
 
 # ---- preference gates --------------------------------------------------------------------------
@@ -213,7 +213,8 @@ def questions_from_templates(templates: DataFrame, count: int, seed: int, source
     distinct = first_rows(made, ["question"], ["position"])
     rounds = F.ceil(F.lit(count) / F.greatest(distinct.agg(F.count("*")).scalar(), F.lit(1))).cast("int") - 1
     rows = distinct.withColumn("round", F.explode(F.sequence(F.lit(0), F.greatest(rounds, F.lit(0)))))
-    ordered = rows.orderBy("round", F.md5(F.concat(F.lit(f"{seed}:"), F.encode("question", "UTF-8").cast("string"))), "question").limit(count)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.encode("question", "UTF-8").cast("string")))
+    ordered = between(rows, [F.col("round"), order, F.col("question")], 0, count) if count > 0 else rows.limit(0)
     return ordered.select(
         F.lit(source).alias("source"),
         "topic",
@@ -227,8 +228,7 @@ def unseen_sample(pool: DataFrame, training: DataFrame, n: int, seed: int) -> Da
     asked = collapse_spaces(F.col("question"))
     used = training.select(F.when(asked != "", asked).otherwise(question_of_prompt(F.col("prompt"))).alias("question"))
     fresh = pool.select(asked.alias("question")).join(used.where(F.col("question") != "").distinct(), "question", "left_anti")
-    order = fresh.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("question"))), "question")
-    return order.limit(n) if n > 0 else order
+    return between(fresh, [F.md5(F.concat(F.lit(f"{seed}:"), F.col("question"))), F.col("question")], 0, n)
 
 
 def training_view(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from passagemill.functions.text import CONTENT_LABEL, HEADING_LABEL, SOURCE_LABE
 from passagemill.functions.tokens import tokenize
 from passagemill.operators.encode import coverage_scorer
 from passagemill.operators.spread import unnest
-from passagemill.session import checkpoint_folder
+from passagemill.session import stored
 
 SCORE_DIGITS = 9  # ranks compare scores at this precision, ties go to the smaller id
 
@@ -164,12 +163,6 @@ def bm25_candidates(index: KeywordIndex, asked: DataFrame, n: int, k1: float = 1
     blocks; beyond that queries are cut into batches and each block meets each batch.
     """
     spark = index.postings.sparkSession
-    folder = f"{checkpoint_folder(spark)}/bm25-{uuid.uuid4().hex}"
-
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
-
     asked = stored(asked, "asked")
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     small = F.broadcast if few else (lambda df: df)

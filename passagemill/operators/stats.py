@@ -20,7 +20,9 @@ from passagemill.functions.judging import DIMENSIONS, MODELS, WEIGHTS, dimension
 from passagemill.functions.keys import hash_mod
 from passagemill.functions.text import collapse_spaces, norm
 from passagemill.operators.encode import Encoder, cosine, encode_distinct, hashing_encoder
-from passagemill.operators.spread import computed_once, quantiles, running_sum
+from passagemill.operators.positions import running_totals
+from passagemill.operators.spread import computed_once, quantiles
+from passagemill.session import stored
 
 # ---- blinding and un-blinding ----------------------------------------------------------------
 
@@ -223,37 +225,56 @@ def similarities(rows: DataFrame, encoder: Callable[[], Encoder] = hashing_encod
 # ---- significance ----------------------------------------------------------------------------
 
 
-def bootstrap_ci(pairs: DataFrame, resamples: int = 3000, seed: int = 42, buckets: int = 16, level: float = 0.95) -> DataFrame:
+LEAF_VALUES = 4096  # distinct values whose counts a task draws at a time
+DRAWN_AT_ONCE = 250_000  # counts of one such draw held in memory
+
+
+def bootstrap_ci(pairs: DataFrame, resamples: int = 3000, seed: int = 42, leaf_values: int = LEAF_VALUES, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean difference per metric over resamples with replacement.
 
-    A resample of n rows is drawn as counts: first how many fall into each bucket of
-    distinct values (the same draw in every task, from the seed), then how many fall
-    on each value of the bucket. Exact, and the work depends on distinct values only.
+    A resample of n rows is drawn as counts of the distinct values, which stand in order and are cut into
+    leaves of ``leaf_values``. Above them lies a binary tree: at each node the rows of a resample
+    part into left and right by a binomial draw that only depends on the seed, the metric and the node, so
+    every task below draws the same. A leaf walks its path from the root and parts what arrives
+    over its own values. Exact, and no task holds more than one leaf of a metric at a time.
     """
-    values = pairs.groupBy("metric", "diff").agg(F.count("*").alias("n")).withColumn(
-        "bucket", F.pmod(F.xxhash64("diff"), F.lit(buckets)).cast("int")
-    )
-    sizes = values.groupBy("metric", "bucket").agg(F.sum("n").alias("size"))
-    sizes = sizes.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("_s"))
-    # At most `buckets` entries per metric.
-    sized = values.join(
-        sizes.select("metric", F.transform("_s", lambda s: s["bucket"]).alias("all_buckets"), F.transform("_s", lambda s: s["size"]).alias("all_sizes")),
-        "metric",
-    )
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        metric, bucket = rows["metric"].iloc[0], int(rows["bucket"].iloc[0])
-        sizes = np.asarray(rows["all_sizes"].iloc[0], dtype="int64")
-        place = list(rows["all_buckets"].iloc[0]).index(bucket)
-        name = zlib.crc32(metric.encode())
-        shares = np.random.default_rng([seed, name]).multinomial(sizes.sum(), sizes / sizes.sum(), size=resamples)[:, place]
+    values = pairs.groupBy("metric", "diff").agg(F.count("*").alias("n"))
+    placed = running_totals(values, ["metric"], ["diff"], F.lit(1), "place")
+    placed = placed.withColumn("leaf", F.floor((F.col("place") - 1) / leaf_values).cast("long"))
+    leaves = placed.groupBy("metric", "leaf").agg(F.sum("n").alias("size"))
+    levels = leaves.groupBy("metric").agg(F.ceil(F.log2(F.max("leaf") + 1.0)).cast("int").alias("levels"))
+    up = F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("up")
+    # A node is a leaf number shifted right; its size is the sum over the leaves below it.
+    above = leaves.join(levels, "metric").select("metric", "leaf", "size", up)
+    nodes = above.groupBy("metric", "up", F.expr("shiftright(leaf, up)").alias("node")).agg(F.sum("size").alias("size"))
+    left = nodes.where("node % 2 = 0").select("metric", (F.col("up") + 1).alias("up"), F.expr("shiftright(node, 1)").alias("node"), F.col("size").alias("left"))
+    steps = above.select("metric", "leaf", "up", F.expr("shiftright(leaf, up)").alias("node")).where("up > 0").join(nodes, ["metric", "up", "node"]).join(left, ["metric", "up", "node"])
+    goes_left = F.expr("shiftright(leaf, up - 1) % 2 = 0")
+    # One step a level: the logarithm of the number of leaves.
+    path = F.sort_array(F.collect_list(F.struct("up", "node", "size", "left", goes_left.alias("goes_left"))), asc=False)
+    paths = steps.groupBy("metric", "leaf").agg(path.alias("path"))
+    totals = leaves.groupBy("metric").agg(F.sum("size").alias("total"))
+
+    def draw(key: tuple, rows: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        metric, leaf = key
+        name, total = zlib.crc32(metric.encode()), int(way["total"].iloc[0])
+        arriving = np.full(resamples, total, "int64")
+        path = way["path"].iloc[0]
+        for step in path if path is not None else ():
+            rng = np.random.default_rng([seed, name, int(step["up"]), int(step["node"])])
+            lefts = rng.binomial(arriving, step["left"] / step["size"])
+            arriving = lefts if step["goes_left"] else arriving - lefts
         rows = rows.sort_values("diff")
         chance = rows["n"].to_numpy() / rows["n"].sum()
-        rng = np.random.default_rng([seed, name, bucket + 1])
-        sums = np.concatenate([rng.multinomial(part, chance) @ rows["diff"].to_numpy() for part in np.array_split(shares, max(1, resamples // 100))])
-        return pd.DataFrame({"metric": metric, "resample": np.arange(resamples), "part": sums, "n": sizes.sum()})
-
-    drawn = sized.groupBy("metric", "bucket").applyInPandas(draw, "metric string, resample int, part double, n long")
+        rng = np.random.default_rng([seed, name, 0, int(leaf)])
+        pieces = max(1, -(-resamples * len(rows) // DRAWN_AT_ONCE))
+        sums = np.concatenate([rng.multinomial(part, chance) @ rows["diff"].to_numpy() for part in np.array_split(arriving, pieces)])
+        return pd.DataFrame({"metric": metric, "resample": np.arange(resamples), "part": sums, "n": total})
+
+    ways = leaves.select("metric", "leaf").join(totals, "metric").join(paths, ["metric", "leaf"], "left")
+    ways = ways.select(F.col("metric").alias("of_metric"), F.col("leaf").alias("of_leaf"), "total", "path")
+    drawn = placed.select("metric", "leaf", "diff", "n").groupBy("metric", "leaf").cogroup(ways.groupBy("of_metric", "of_leaf"))
+    drawn = drawn.applyInPandas(draw, "metric string, resample int, part double, n long")
     means = drawn.groupBy("metric", "resample").agg((F.sum("part") / F.max("n")).alias("mean"))
     low = (1 - level) / 2
     # One row per resample: a fixed number per metric.
@@ -311,14 +332,14 @@ EXACT_UP_TO = 50
 def signed_rank(pairs: DataFrame) -> DataFrame:
     """Wilcoxon signed-rank sums per metric: zeros dropped, tied ranks averaged, tie-corrected z.
 
-    Ranks come from counts of distinct absolute differences, summed in blocks along
-    the value, so no task sorts all differences of a metric.
+    Ranks come from counts of distinct absolute differences, summed along ranges of the
+    values with about as many values each, so no task holds all differences of a metric.
     """
     size = F.abs("diff")
     signs = pairs.where(F.col("diff") != 0).groupBy("metric", size.alias("size")).agg(
         F.count_if(F.col("diff") > 0).alias("up"), F.count("*").alias("c")
     )
-    ranked = running_sum(signs, ["metric"], ["size"], F.col("c"), "upto", F.floor(F.col("size") * 64))
+    ranked = running_totals(signs, ["metric"], ["size"], F.col("c"), "upto")
     rank = F.col("upto") - F.col("c") + (F.col("c") + 1) / 2
     ties = F.col("c") * (F.col("c") * F.col("c") - 1)
     sums = ranked.groupBy("metric").agg(
@@ -344,6 +365,7 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 
 def significance(pairs: DataFrame) -> DataFrame:
     """Wilcoxon and paired-t p-values per metric; 1 when nothing moved, NaN below two pairs."""
+    pairs = stored(pairs.select("metric", "diff"), "pairs")
     tests = paired_t(pairs).join(signed_rank(pairs), "metric", "left")
     exact = (F.col("n") <= EXACT_UP_TO) & ~F.col("tied") & (F.col("n") == F.col("pairs"))
     nan = F.lit(float("nan"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there, so that no use computes it again."""
+    path = f"{checkpoint_folder(df.sparkSession)}/passagemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Tables of long texts, where the work per row is worth far more than moving the row once.
 TEXT_TABLES = ("documents", "pages", "conversations")
 
