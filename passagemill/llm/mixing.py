@@ -7,12 +7,15 @@ sum_d (E_d - T_d)^2 / S_d, where S_d is the corpus' own total of the domain. Wit
 of one over the token count (the gradient's common factor t_i) the update of a document is
 r <- max(least_rate, r - sum_d p_d (E_d - T_d) / S_d), which depends on its posterior only
 and is stable because the preconditioned matrix has no eigenvalue above one. Documents of
-equal posterior (kept to 1/100) therefore move together and are summed into cells before
+about equal posterior move together: they are summed into cells, with their mean posterior by tokens, before
 the iterations; each iteration is one distributed sum over the cells that brings D numbers
-to the driver, and a document's rate is the fold of those D numbers over its posterior.
+to the driver, and a document's rate is the fold of those D numbers over its own posterior,
+which is not rounded. The steps end when the totals meet the targets or stand still, which they do
+where the targets are beyond what nonnegative rates can reach; ``target_gaps`` says what
+was reached, over all documents.
 
-The labelled sample is bounded by ``most_labelled`` documents, its vocabulary by
-``words_per_domain`` words for each of at most ``most_domains`` domains. All documents are
+The classifier is fitted on a sample of at most ``most_labelled`` labelled documents and has
+``words_per_domain`` words for each domain of the sample. All documents are
 scored and counted, over their whole texts. Native expressions only.
 
 Defined results: a null text has no words, the prior as posterior and a rate like any
@@ -23,6 +26,7 @@ repeated rows each have their rate; extra columns stay inside ``doc``.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +36,14 @@ from passagemill.functions.text import let
 from passagemill.llm.common import stored
 from passagemill.llm.quality import listed_counts, words_of
 
-MOST_LABELLED, WORDS_PER_DOMAIN, MOST_DOMAINS = 20_000, 12, 16
+MOST_LABELLED, WORDS_PER_DOMAIN = 20_000, 24
 EVIDENCE = 40.0  # words that count fully; longer texts keep their averages, since words are not independent
-STEPS, CLOSE = 40, 1e-4  # steps end when no total moves by more than this share of all tokens
+CLOSE, STILL = 1e-4, 1e-4  # steps end when all totals are this close to the targets, or none moves by more than the second share
+CELLS = 500  # posteriors in one cell are equal when rounded to this part
+
+
+def sum_of(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
 
 
 class DomainTable:
@@ -44,28 +53,28 @@ class DomainTable:
         self.domains, self.words, self.logs, self.priors = domains, words, logs, priors
 
     def posterior(self, words: Column, evidence: float = EVIDENCE) -> Column:
-        """Posterior over ``domains`` of an array of words, kept to 1/100."""
+        """Posterior over ``domains`` of an array of words."""
 
         def scored(c: Column) -> Column:
             n = F.size(words).cast("double")
-            rest = n - F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+            rest = n - sum_of(c)
             scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(n, F.lit(1.0)))
-            sums = []
-            for row, prior in zip(self.logs, self.priors):
-                terms = F.zip_with(c, F.array(*[F.lit(x) for x in row[:-1]]), lambda a, b: a * b)
-                sums.append(F.lit(prior) + scale * (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + rest * row[-1]))
-            return let(F.array(*sums), softmax)
+            # The table is one constant, not an expression for each of its numbers.
+            table = F.from_json(F.lit(json.dumps([[prior, *row] for prior, row in zip(self.priors, self.logs)])), "array<array<double>>")
+            one = lambda counts: F.transform(table, lambda row: sum_of(F.zip_with(counts, row, lambda a, b: a * b)))
+            weighted = F.concat(F.array(F.lit(1.0)), F.transform(F.concat(c, F.array(rest)), lambda x: x * scale))
+            return let(let(weighted, one), softmax)
 
         def softmax(s: Column) -> Column:
             raised = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-            return let(raised, lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y), 2)))
+            return let(raised, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
 
         return let(listed_counts(words, self.words), scored)
 
 
 def learned(
     docs: DataFrame, labelled_ids: DataFrame, domain: str = "lang", most_labelled: int = MOST_LABELLED, words_per_domain: int = WORDS_PER_DOMAIN,
-    most_domains: int = MOST_DOMAINS, id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DomainTable | None:
     """The table from at most ``most_labelled`` documents whose ids are in ``labelled_ids``, labelled by ``domain``."""
     picked = labelled_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
@@ -75,14 +84,14 @@ def learned(
     counts = stored(
         rows.select("domain", F.explode(words_of(F.col("text"))).alias("word")).groupBy("domain", "word").agg(F.count("*").alias("n")), "labelled-words"
     )
-    totals = counts.groupBy("domain").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "domain").limit(most_domains).collect()
+    totals = counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()  # domains of the sample
     domains = sorted(r["domain"] for r in totals)
     if not domains:
         return None
     best = Window.partitionBy("domain").orderBy(F.desc("n"), "word")
-    often = counts.where(F.col("domain").isin(domains)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= words_per_domain)
+    often = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= words_per_domain)
     words = sorted({r["word"] for r in often.select("word").collect()})
-    found = {(r["domain"], r["word"]): r["n"] for r in counts.where(F.col("domain").isin(domains) & F.col("word").isin(words)).collect()}
+    found = {(r["domain"], r["word"]): r["n"] for r in counts.where(F.col("word").isin(words)).collect()}
     total = {r["domain"]: r["n"] for r in totals}
     logs = []
     for d in domains:
@@ -125,16 +134,34 @@ def fitted_steps(cells: DataFrame, domains: list[str], weights: dict[str, float]
     share = sum(weights[domains[d]] for d in used)
     wanted = {d: weights[domains[d]] / share for d in used}
     total = max(own[d] / wanted[d] for d in used) if keep_all else sum(own[d] for d in used)
-    steps, now = [], own
-    for _ in range(STEPS):
+    steps, now, moved = [], own, total
+    while moved > STILL * total:
         gap = {d: now[d] - wanted[d] * total for d in used}
+        if max(map(abs, gap.values())) <= CLOSE * total:
+            break
         steps.append([gap[d] / own[d] if d in gap else 0.0 for d in range(size)])
         before, now = now, totals(steps)
-        if max(abs(x - y) for x, y in zip(before, now)) <= CLOSE * total:
-            break
+        moved = max(abs(x - y) for x, y in zip(before, now))
     return steps
 
 
+def posterior_cells(rows: DataFrame, size: int) -> DataFrame:
+    """``posterior, tokens``: documents of about equal posterior summed, with the mean of their posteriors by tokens."""
+    tokens = F.sum("n_tokens")
+    mean = F.array(*[F.sum(F.get("posterior", F.lit(d)) * F.col("n_tokens")) / tokens for d in range(size)])
+    near = F.transform("posterior", lambda p: F.round(p * CELLS).cast("int")).alias("near")
+    return rows.where("n_tokens > 0").groupBy(near).agg(mean.alias("posterior"), tokens.alias("tokens"))
+
+
+def target_gaps(mixed_rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``domain, wanted, reached``: the share of the expected tokens that each target asks for and got, over all documents."""
+    each = mixed_rows.select("n_tokens", "rate", F.explode("posterior").alias("domain", "p"))
+    got = each.groupBy("domain").agg(F.sum(F.col("p") * F.col("rate") * F.col("n_tokens")).alias("reached"))
+    asked = got.join(got.sparkSession.createDataFrame(sorted(weights.items()), "domain string, wanted double"), "domain")
+    sums = asked.agg(F.sum("wanted").alias("all_wanted"), F.sum("reached").alias("all_reached"))  # one row
+    return asked.crossJoin(sums).select("domain", (F.col("wanted") / F.col("all_wanted")).alias("wanted"), (F.col("reached") / F.col("all_reached")).alias("reached"))
+
+
 def mixed(
     docs: DataFrame, labelled_ids: DataFrame, weights: dict[str, float], domain: str = "lang", least_rate: float = 0.0, keep_all: bool = False,
     id_col: str = "doc_id", text_col: str = "text", seed: int = 0, columns: list[str] | None = None,
@@ -153,7 +180,7 @@ def mixed(
     rows = stored(rows.select("doc", "draw", F.size("words").cast("long").alias("n_tokens"), posterior.alias("posterior")), "posteriors")
     steps: list[list[float]] = []
     if table:
-        cells = stored(rows.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")), "posterior-cells")
+        cells = stored(posterior_cells(rows, len(domains)), "posterior-cells")
         steps = fitted_steps(cells, domains, weights, least_rate, keep_all)
     rows = rows.withColumn("rate", rate_of(F.col("posterior"), steps, least_rate))
     copies = F.floor(F.col("rate")) + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)

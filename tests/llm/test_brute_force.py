@@ -278,6 +278,40 @@ def test_mixing_meets_targets(spark, docs, data):
         assert all(abs(t - share) < 0.02 * share for t in totals.values()), totals
 
 
+def test_mixing_by_a_dense_solver(spark, docs, data):
+    """Posteriors by a plain loop and rates by a dense solver on 500 documents; shares sum to one; every labelled domain takes part."""
+    labels, few = spark.read.parquet(f"{data}/labels.parquet"), docs.limit(500).cache()
+    few = few.withColumn("domain", mixing.F.concat("lang", (mixing.F.col("doc_id") % 6).cast("string"))).cache()  # 24 domains
+    table = mixing.learned(few, labels, "domain", words_per_domain=4)
+    assert len(table.domains) > 16
+    rows = few.select("doc_id", "text", table.posterior(quality.words_of(mixing.F.coalesce("text", mixing.F.lit("")))).alias("p")).collect()
+    place = {w: i for i, w in enumerate(table.words)}
+    for r in rows:
+        found = (r["text"] or "").lower().split()
+        listed = [w for w in found if w in place]
+        scale = min(1.0, mixing.EVIDENCE / max(1, len(found)))
+        logs = np.array([prior + scale * (sum(line[place[w]] for w in listed) + (len(found) - len(listed)) * line[-1]) for line, prior in zip(table.logs, table.priors)])
+        want = np.exp(logs - logs.max())
+        assert abs(sum(r["p"]) - 1) < 1e-9
+        if (r["text"] or "").isascii():
+            assert np.allclose(r["p"], want / want.sum(), atol=1e-6)
+
+    weights = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}
+    mixed = mixing.mixed(few, labels, weights).collect()
+    names = sorted(weights)
+    p = np.array([[r["posterior"].get(d, 0.0) for d in names] for r in mixed])
+    t, rates = np.array([r["n_tokens"] for r in mixed], float), np.array([r["rate"] for r in mixed])
+    own = (p * t[:, None]).sum(0)
+    wanted, dense = np.array([weights[d] for d in names]) * own.sum(), np.ones(len(t))
+    for _ in range(2000):
+        dense = np.maximum(0, dense - p @ (((p * (dense * t)[:, None]).sum(0) - wanted) / own))
+    assert np.abs((p * (rates * t)[:, None]).sum(0) - wanted).max() < 2e-3 * own.sum()
+    assert np.abs((p * (dense * t)[:, None]).sum(0) - wanted).max() < 2e-3 * own.sum()
+    assert np.abs(rates - dense).max() < 0.02
+    gaps = mixing.target_gaps(mixing.mixed(few, labels, weights), weights).collect()
+    assert len(gaps) == 4 and all(abs(g["wanted"] - g["reached"]) < 2e-3 for g in gaps)
+
+
 def test_top_k_ties_and_tiles(spark):
     draw = np.random.default_rng(5)
     matrix = draw.integers(-3, 4, (400, 6)) / 256.0
