@@ -47,11 +47,11 @@ def keys_of(text: Column) -> Column:
 
 
 def key_rows(docs: DataFrame, doc_id: Column, text: Column, min_chars: int) -> DataFrame:
-    """``h1, h2, id``: one row per document and distinct key of at least ``min_chars`` code points."""
+    """``h1, h2, id, text_hash``: one row per document and distinct key of at least ``min_chars`` code points."""
     keys = F.array_distinct(F.filter(keys_of(text), lambda key: F.length(key) >= min_chars))
-    rows = docs.select(doc_id.cast("long").alias("id"), F.explode(keys).alias("key"))
+    rows = docs.select(doc_id.cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(keys).alias("key"))
     h1, h2 = hash_pair(F.col("key"))
-    return rows.select(h1.alias("h1"), h2.alias("h2"), "id")
+    return rows.select(h1.alias("h1"), h2.alias("h2"), "id", "text_hash")
 
 
 class LineRuns:
@@ -131,9 +131,11 @@ def dedup_lines(
     common = stored(runs.read().where(F.col("n") >= min_docs), "common-lines")
     held = key_rows(docs, F.col(id_col), F.col(text_col), min_chars)
     lost = held.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last_id")))
-    lost = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(lost.withColumnRenamed("id", "lost_id"), F.col("id").eqNullSafe(F.col("lost_id")), "left")
+    # By id and text, so that a list is of one text's lines, however many rows share an id or have none.
+    lost = lost.groupBy("id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), "lost")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
 
     def stays(line: Column) -> Column:
         key = F.btrim(ascii_lower(line), F.lit(BLANKS))
