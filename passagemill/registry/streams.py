@@ -9,43 +9,47 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.operators.spread import first_rows
 from passagemill.plans import inputs
 from passagemill.registry import Registry, duck
 from passagemill.registry.corpus import STATUS_LOG, _NO_BLANK, _scratch, _windows_sql, status_log
 from passagemill.registry.curation import _roll
 from passagemill.registry.judging import MESSAGES
-from passagemill.session import read_table
+from passagemill.session import STATE_STORE, read_table
 from passagemill.sources import archives, files
 from passagemill.streaming import answers, status, upkeep
 
 area = Registry()
 
 
-def _written_in_parts(spark, df, name, parts):
-    """``df`` as a folder of Parquet files written one part after the other, and a stream over it."""
+def _fed(spark, df, name, parts, start):
+    """Write the parts of ``df`` one after the other, and after each run the stream that ``start`` makes over all that is there.
+
+    Every run takes up from the checkpoint of the one before, as a job does that was stopped.
+    """
     path = _scratch(spark, name)
-    for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    changed = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    before = {setting: spark.conf.get(setting) for setting in changed}
+    try:
+        # A job with timeouts asks for further empty batches for ever; a run here ends with the data.
+        for setting, value in changed.items():
+            spark.conf.set(setting, value)
+        for part in parts:
+            df.where(part).write.mode("append").parquet(path)
+            start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
+    finally:
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
 
 
-def _drained(spark, stream, name, mode="append"):
-    """Run a stream over all that is there into a folder and read it back."""
+def _drained(spark, df, name, parts, job, mode="append"):
+    """The rows that the streaming ``job`` makes of the parts of ``df``."""
     out, state = _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-state")
 
-    def keep(rows, number):
-        rows.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("append").parquet(out)
+    def start(stream):
+        writer = job(stream).writeStream.outputMode(mode).option("checkpointLocation", state)
+        return writer.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(out)).trigger(availableNow=True).start()
 
-    # A job with timeouts asks for further empty batches for ever; a drain ends with the data.
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state)
-        writer.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    _fed(spark, df, name, parts, start)
     return spark.read.parquet(out)
 
 
@@ -59,8 +63,7 @@ def _drained(spark, stream, name, mode="append"):
 )
 def _w1(spark, folder):
     events = inputs.generation_events(spark, folder)
-    stream = _written_in_parts(spark, events, "events", [F.col("seq") < 5, F.col("seq") >= 5])
-    return _drained(spark, answers.answer_stream(stream), "answers").drop("_batch")
+    return _drained(spark, events, "answers", [F.col("seq") < 5, F.col("seq") >= 5], answers.answer_stream)
 
 
 @area.query(
@@ -88,9 +91,9 @@ def _w2(spark, folder):
     stale = change(later, 1, F.lit("upsert"), F.lit("overtaken by the later change of its batch"))
     batch = F.when(F.col("text").startswith("overtaken") | (F.col("seq") == 2), 2).otherwise(1)
     changes = first.unionByName(second).unionByName(stale)
-    stream = _written_in_parts(spark, changes, "changes", [batch == 1, batch == 2])
     index = upkeep.ChangingIndex(spark, _scratch(spark, "index"))
-    upkeep.follow(stream, index, _scratch(spark, "index-state")).awaitTermination()
+    state = _scratch(spark, "index-state")
+    _fed(spark, changes, "changes", [batch == 1, batch == 2], lambda stream: upkeep.follow(stream, index, state))
     return index.read().select("source", "chunk_id", "content")
 
 
@@ -105,10 +108,10 @@ def _w2(spark, folder):
 )
 def _w3(spark, folder):
     log = status_log(read_table(spark, folder, "events"))
-    half = F.col("seq") % 2 == 0
-    stream = _written_in_parts(spark, log, "log", [half, ~half])
-    updates = _drained(spark, status.status_stream(stream, ["user_id"]), "status", "update")
-    latest = first_rows(updates.withColumn("_order", -F.col("_batch")), ["user_id"], ["_order"])
+    middle = log.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("bigint"))).scalar()
+    early = F.col("ts") < middle
+    spans = _drained(spark, log, "log", [early, ~early], lambda stream: status.status_stream(stream, ["user_id"]), "update")
+    latest = status.folded(spans, ["user_id"])
     return latest.select("user_id", "status", "last_error", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_at"))
 
 

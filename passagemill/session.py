@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Keeps the state of streams on disk and takes list and timed state, which the answer stream needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(master: str | None = None, app: str = "passagemill", **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for.
@@ -24,6 +27,7 @@ def build_session(master: str | None = None, app: str = "passagemill", **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():

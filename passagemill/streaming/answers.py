@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passagemill.operators.spread import block_of, ordered_concat
 
@@ -38,38 +38,74 @@ def assembled(events: DataFrame) -> DataFrame:
 ANSWER_SCHEMA = "request long, status string, answer string, completion_tokens long"
 
 
-def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
-    """One row per request when its end or error arrives, or, after ``give_up_ms`` without an event, as it stands (``open``).
+class _Assembly(StatefulProcessor):
+    """State of a request: a list that only grows by the new deltas, and a mark once it has its row.
 
-    The state of a request is the deltas that came so far.
+    The request's timer, which is stored with the state, ends the list; a time to live could end it
+    first where the job stood still, and lose text. The mark has one, as losing it is harmless.
     """
 
-    def one_row(request: int, status: str, answer: str | None, tokens: int | None) -> pd.DataFrame:
-        row = {"request": [request], "status": [status], "answer": [answer], "completion_tokens": pd.array([tokens], dtype="Int64")}
-        return pd.DataFrame(row)
+    def __init__(self, give_up_ms: int) -> None:
+        self.give_up_ms = give_up_ms
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            parts = sorted(zip(*state.get))
-            state.remove()
-            yield one_row(key[0], "open", "".join(text for _, text in parts), None)
-            return
-        parts = [tuple(p) for p in zip(*state.get)] if state.exists else []
-        for batch in batches:
-            for row in batch.sort_values("seq").itertuples():
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deltas = handle.getListState("deltas", "seq long, text string")
+        self.settled = handle.getValueState("settled", "done boolean", ttlDurationMs=self.give_up_ms)
+
+    def _so_far(self) -> list[tuple[int, str]]:
+        return [(row[0], row[1]) for row in self.deltas.get()]
+
+    def _no_timer(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh, last = [], None
+        for batch in rows:
+            for row in batch.itertuples():
                 if row.type == "delta" and isinstance(row.text, str):
-                    parts.append((int(row.seq), row.text))
-                elif row.type in ("end", "error"):
-                    final = row.answer if isinstance(row.answer, str) and row.answer else "".join(t for _, t in sorted(parts))
-                    ok = row.type == "end"
-                    tokens = int(row.completion_tokens) if ok and pd.notna(row.completion_tokens) else None
-                    if state.exists:
-                        state.remove()
-                    yield one_row(key[0], "done" if ok else "error", final if ok else None, tokens)
-                    return
-        state.update(([s for s, _ in parts], [t for _, t in parts]))
-        state.setTimeoutDuration(give_up_ms)
-
-    return events.groupBy("request").applyInPandasWithState(
-        step, ANSWER_SCHEMA, "seqs array<long>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+                    fresh.append((int(row.seq), row.text))
+                elif row.type in ("end", "error") and (last is None or row.seq > last.seq):
+                    last = row
+        if self.settled.exists():
+            return
+        if last is None:
+            if fresh:
+                self.deltas.appendList(fresh)
+            self._no_timer()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.give_up_ms)
+            return
+        ok = last.type == "end"
+        final = last.answer if isinstance(last.answer, str) and last.answer else None
+        if ok and final is None:
+            final = "".join(text for _, text in sorted(self._so_far() + fresh))
+        tokens = int(last.completion_tokens) if ok and pd.notna(last.completion_tokens) else None
+        self.deltas.clear()
+        self._no_timer()
+        self.settled.update((True,))
+        yield _one_row(key[0], "done" if ok else "error", final if ok else None, tokens)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        text = "".join(text for _, text in sorted(self._so_far()))
+        self.deltas.clear()
+        self.settled.update((True,))
+        yield _one_row(key[0], "open", text, None)
+
+    def close(self) -> None:
+        pass
+
+
+def _one_row(request: int, status: str, answer: str | None, tokens: int | None) -> pd.DataFrame:
+    row = {"request": [request], "status": [status], "answer": [answer], "completion_tokens": pd.array([tokens], dtype="Int64")}
+    return pd.DataFrame(row)
+
+
+def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
+    """One row per request when its end or error arrives, or, after ``give_up_ms`` without an event, as it stands (``open``).
+
+    A batch writes its own deltas and no earlier one. Events that come within ``give_up_ms`` after
+    a request's row are ignored; later ones count as a new request. A session that
+    ``build_session`` did not make needs the state store ``passagemill.session.STATE_STORE``.
+    """
+    return events.groupBy("request").transformWithStateInPandas(_Assembly(give_up_ms), ANSWER_SCHEMA, "append", "ProcessingTime")
