@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.keys import hash_mod
 from passagemill.functions.text import let
 from passagemill.functions.tokens import tokenize
+from passagemill.operators import phrases
 from passagemill.operators.spread import unnest
 from passagemill.session import read_table
 
@@ -21,9 +22,24 @@ GRAM = 4
 def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id`` of every document text that contains an item text.
 
+    Items that fit one automaton are looked for in one pass over the documents. Of more items the
+    long ones are found by a run of tokens, the short ones (normally few) by blocks of automata.
+    """
+    asked = items.select("item_id", F.col("text").alias("needle"))
+    if phrases.fits_one_automaton(asked):
+        return phrases.by_scan(docs, asked)
+    asked = asked.withColumn("_n", F.size(tokenize(F.col("needle"))))
+    long_enough = F.col("_n") >= GRAM + 2
+    short = asked.where(~long_enough)
+    near = phrases.by_scan if phrases.fits_one_automaton(short) else phrases.by_cells
+    return pairs_by_runs(docs, asked.where(long_enough)).unionByName(near(docs, short))
+
+
+def pairs_by_runs(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for ``item_id, needle`` of at least ``GRAM + 2`` tokens.
+
     The inner tokens of a contained text appear unbroken in the document, so one run
     of tokens per item finds the candidates by equality; only those are searched.
-    Items too short for such a run (normally none) are searched directly.
     """
 
     def gram(ts: Column, i: Column) -> Column:
@@ -33,22 +49,16 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
         starts = F.sequence(F.lit(1), F.size(ts) - (GRAM - 1))
         return F.when(F.size(ts) >= GRAM, F.transform(starts, lambda i: gram(ts, i)))
 
-    tokens = tokenize(F.col("text"))
-    asked = items.select("item_id", F.col("text").alias("needle"), F.size(tokens).alias("_n"), let(tokens, lambda ts: gram(ts, F.lit(2))).alias("_gram"))
-    long_enough = F.col("_n") >= GRAM + 2
-    keyed = asked.where(long_enough).select("item_id", "_gram")
-    grams = unnest(docs, ["doc_id"], F.array_distinct(let(tokens, all_grams)), "_gram")
+    keyed = asked.select("item_id", let(tokenize(F.col("needle")), lambda ts: gram(ts, F.lit(2))).alias("_gram"))
+    grams = unnest(docs, ["doc_id"], F.array_distinct(let(tokenize(F.col("text")), all_grams)), "_gram")
     # Only keys and ids are matched; the text is joined back to the few candidates.
-    found = (
+    return (
         grams.join(keyed, "_gram")
         .join(asked.select("item_id", "needle"), "item_id")
         .join(docs.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", "needle"))
         .select("item_id", "doc_id")
     )
-    short = asked.where(~long_enough).select("item_id", "needle")
-    direct = docs.select("doc_id", "text").join(short, F.contains("text", "needle")).select("item_id", "doc_id")
-    return found.unionByName(direct)
 
 
 def qrels(spark: SparkSession, folder: str) -> DataFrame:
