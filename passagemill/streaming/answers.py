@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,6 +37,9 @@ def assembled(events: DataFrame) -> DataFrame:
 ANSWER_SCHEMA = "request long, status string, answer string, completion_tokens long"
 
 
+_one_row = Row("request", "status", "answer", "completion_tokens")
+
+
 class _Assembly(StatefulProcessor):
     """State of a request: a list that only grows by the new deltas, and a mark once it has its row.
 
@@ -60,14 +62,13 @@ class _Assembly(StatefulProcessor):
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         fresh, last = [], None
-        for batch in rows:
-            for row in batch.itertuples():
-                if row.type == "delta" and isinstance(row.text, str):
-                    fresh.append((int(row.seq), row.text))
-                elif row.type in ("end", "error") and (last is None or row.seq > last.seq):
-                    last = row
+        for row in rows:
+            if row.type == "delta" and row.text is not None:
+                fresh.append((row.seq, row.text))
+            elif row.type in ("end", "error") and (last is None or row.seq > last.seq):
+                last = row
         if self.settled.exists():
             return
         if last is None:
@@ -77,16 +78,15 @@ class _Assembly(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.give_up_ms)
             return
         ok = last.type == "end"
-        final = last.answer if isinstance(last.answer, str) and last.answer else None
-        if ok and final is None:
+        final = last.answer
+        if ok and not final:
             final = "".join(text for _, text in sorted(self._so_far() + fresh))
-        tokens = int(last.completion_tokens) if ok and pd.notna(last.completion_tokens) else None
         self.deltas.clear()
         self._no_timer()
         self.settled.update((True,))
-        yield _one_row(key[0], "done" if ok else "error", final if ok else None, tokens)
+        yield _one_row(key[0], "done" if ok else "error", final if ok else None, last.completion_tokens if ok else None)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         text = "".join(text for _, text in sorted(self._so_far()))
         self.deltas.clear()
         self.settled.update((True,))
@@ -96,11 +96,6 @@ class _Assembly(StatefulProcessor):
         pass
 
 
-def _one_row(request: int, status: str, answer: str | None, tokens: int | None) -> pd.DataFrame:
-    row = {"request": [request], "status": [status], "answer": [answer], "completion_tokens": pd.array([tokens], dtype="Int64")}
-    return pd.DataFrame(row)
-
-
 def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
     """One row per request when its end or error arrives, or, after ``give_up_ms`` without an event, as it stands (``open``).
 
@@ -108,4 +103,4 @@ def answer_stream(events: DataFrame, give_up_ms: int = 600_000) -> DataFrame:
     a request's row are ignored; later ones count as a new request. A session that
     ``build_session`` did not make needs the state store ``passagemill.session.STATE_STORE``.
     """
-    return events.groupBy("request").transformWithStateInPandas(_Assembly(give_up_ms), ANSWER_SCHEMA, "append", "ProcessingTime")
+    return events.groupBy("request").transformWithState(_Assembly(give_up_ms), ANSWER_SCHEMA, "append", "ProcessingTime")
