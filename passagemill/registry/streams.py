@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.rowwise import rowwise
 from passagemill.plans import inputs
 from passagemill.registry import Registry, duck
 from passagemill.registry.corpus import STATUS_LOG, _NO_BLANK, _scratch, _windows_sql, status_log
@@ -147,9 +148,9 @@ def _s3(spark, folder):
 _IN_GBK = r"[^\x00-\x7fáàéèêíìóòúùü]"
 
 
-@F.pandas_udf(T.BinaryType())
-def _as_gbk(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: None if text is None else text.encode("gbk"))
+@rowwise(T.BinaryType(), pa.binary())
+def _as_gbk(text: str | None) -> bytes | None:
+    return None if text is None else text.encode("gbk")
 
 
 @area.query(
@@ -164,19 +165,16 @@ def _s2(spark, folder):
     return files.decoded(docs.select("doc_id", F.when(even, F.encode("text", "UTF-8")).otherwise(other).alias("content")))
 
 
-@F.pandas_udf(T.BinaryType())
-def _zipped(a: pd.Series, b: pd.Series) -> pd.Series:
-    def pack(x: str, y: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("b/full.MD", x)
-            z.writestr("a/skip.bin", "no")
-            z.writestr("a/notes.txt", " " + y)
-            z.writestr("layout.json", "{}")
-            z.writestr("empty.txt", " ")
-        return out.getvalue()
-
-    return pd.Series([pack(x, y) for x, y in zip(a, b)])
+@rowwise(T.BinaryType(), pa.binary())
+def _zipped(x: str, y: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("b/full.MD", x)
+        z.writestr("a/skip.bin", "no")
+        z.writestr("a/notes.txt", " " + y)
+        z.writestr("layout.json", "{}")
+        z.writestr("empty.txt", " ")
+    return out.getvalue()
 
 
 @area.query(
