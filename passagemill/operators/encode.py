@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,13 +21,14 @@ from passagemill.functions.judging import label_score
 from passagemill.functions.tokens import TOKEN, coverage, tokenize
 
 Encoder = Callable[[list[str]], np.ndarray]
+HELD_TEXTS = 384  # texts that a task holds as Python strings at a time
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:
     """Signed feature hashing of tokens by md5, scaled to unit length."""
     token = re.compile(TOKEN)
 
-    @lru_cache(maxsize=200_000)
+    @lru_cache(maxsize=20_000)  # the frequent words; a rare one costs a digest
     def slot(word: str) -> tuple[int, int]:
         digest = hashlib.md5(word.encode()).hexdigest()
         return int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8:16], 16) % 2)
@@ -58,16 +59,20 @@ def encode(
     """
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
+        held = batch_size * max(1, HELD_TEXTS // batch_size)
         for batch in batches:
-            texts = batch[text].tolist()
-            parts = [model(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)]
-            out = batch[keys].copy()
-            out["embedding"] = [v for part in parts for v in np.asarray(part, dtype="float32")]
-            yield out
-
-    return df.select(*keys, text).mapInPandas(run, schema)
+            for at in range(0, batch.num_rows, held):
+                # Only these texts are Python strings; the others of the batch stay in Arrow's form.
+                part = batch.slice(at, held)
+                texts = part.column(len(keys)).to_pylist()
+                made = [np.asarray(model(texts[i : i + batch_size]), dtype="float32") for i in range(0, len(texts), batch_size)]
+                ends = np.cumsum([0, *(len(v) for m in made for v in m)])
+                vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate([m.ravel() for m in made]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], schema.names)
+
+    return df.select(*keys, text).mapInArrow(run, schema)
 
 
 def encode_distinct(df: DataFrame, text: str, encoder: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
