@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.rowwise import rowwise
 from passagemill.functions.text import unify_newlines
 
 
@@ -27,11 +28,9 @@ def relative_to(path: Column, root: str) -> Column:
     return F.when(at > 0, F.substring(path, at + len(base), F.length(path))).otherwise(path)
 
 
-@F.pandas_udf(T.StringType())
-def _decode_gbk(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else raw.decode("gbk", errors="replace"))
-
-
+@rowwise(T.StringType(), pa.string())
+def _decode_gbk(raw: bytes | None) -> str | None:
+    return None if raw is None else raw.decode("gbk", errors="replace")
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
