@@ -57,28 +57,33 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 
 BROADCAST_TERMS = 200_000  # (query, term) rows sent to every task at most, some megabytes
+TASK_HITS = 1 << 20  # rows of one query and one asked term of a document that a task adds up
 
 
 def bm25_scores(index: KeywordIndex, asked: DataFrame, k1: float = 1.5, b: float = 0.75, salts: int = 16) -> DataFrame:
     """``query_id, id, score`` of every document that shares a term with a query.
 
     Only postings of asked terms take part: the semi join is pushed below the token
-    count. Up to ``BROADCAST_TERMS`` counted query terms travel to the postings, which
-    stay where they are. Beyond that both sides are shuffled by term, and a frequent
-    term is spread over ``salts`` keys by document, so no task holds all its documents.
+    count. Up to ``BROADCAST_TERMS`` counted query terms travel to the postings. Beyond
+    that both sides are shuffled by term, and a frequent term is spread over ``salts``
+    keys by document, so no task holds all its documents. Scores are added up by document,
+    in as many tasks as the counted rows ask for, so a task's memory does not grow with the corpus.
     """
-    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = index.terms(wanted).select("term", "idf")
-    weighted = asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("_weight"))
+    wanted = stored(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), "asked-postings")
+    terms = index.terms(wanted)
+    n_hits = asked.join(terms, "term").agg(F.sum("df").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-n_hits // TASK_HITS), asked.sparkSession.sparkContext.defaultParallelism)
+    weighted = asked.join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("_weight"))
     mean = F.coalesce(F.nullif(index.lengths.agg(F.avg("length")).scalar(), F.lit(0.0)), F.lit(1.0))
     norm = k1 * (1 - b + b * F.col("length") / mean)
     gains = wanted.select("id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("_gain"))
     if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        hits = gains.join(F.broadcast(weighted), "term")
+        hits = gains.repartition(tasks, "id").join(F.broadcast(weighted), "term")
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
         every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        hits = gains.withColumn("_salt", salt).join(weighted.withColumn("_salt", every_salt), ["term", "_salt"])
+        hits = gains.withColumn("_salt", salt).join(weighted.withColumn("_salt", every_salt), ["term", "_salt"]).repartition(tasks, "id")
+    # A document's hits lie in one task already, so they are not shuffled for the sum.
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("_weight") * F.col("_gain")).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -136,3 +137,19 @@ def test_blank_qrels_fail(spark):
     bad = spark.createDataFrame([(1, " ", [1])], "query_id long, query string, relevant array<long>")
     with pytest.raises(Exception, match="invalid qrels"):
         recall.checked_qrels(bad).collect()
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_scores_are_added_up_in_bounded_tasks(spark, monkeypatch, bound):
+    docs = [(i % 900 if i % 50 else None, " ".join(["a"] * (i % 4) + ["b", f"c{i % 7}"])) for i in range(1000)]
+    index = retrieve.keyword_index(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"))
+    asked = retrieve.query_terms(spark.createDataFrame([(q, f"a b c{q}") for q in range(6)], "q long, t string"), "q", "t")
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", bound)
+    whole = {(r.query_id, r.id): r.score for r in retrieve.bm25_scores(index, asked).collect()}
+    monkeypatch.setattr(retrieve, "TASK_HITS", 200)
+    parted = retrieve.bm25_scores(index, asked)
+    assert parted.rdd.getNumPartitions() >= len(whole) / 200
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", parted._jdf.queryExecution().executedPlan().toString())
+    got = {(r.query_id, r.id): r.score for r in parted.collect()}
+    assert got.keys() == whole.keys() and len(whole) == 6 * 883
+    assert all(abs(got[k] - s) < 1e-9 for k, s in whole.items())
