@@ -89,14 +89,18 @@ class WordIds:
         if len(self.words) > self.remembered:
             self.older, self.words = self.words, {b"": b""}
         words = self._words(text.encode("utf-8", "replace"))
-        unseen = set(words).difference(self.words)
-        if unseen:
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            gaps = [k for k, found in enumerate(ids) if found is None]
+            unseen = {words[k] for k in gaps}
             known = {w: self.older[w] for w in unseen if w in self.older}
             self.words.update(known)
             fresh = list(unseen.difference(known))
             if fresh:
                 self.words.update(zip(fresh, self._ids([w.decode() for w in fresh])))
-        return b"".join(map(self.words.__getitem__, words))
+            for k in gaps:
+                ids[k] = self.words[words[k]]
+        return b"".join(ids)
 
     def _words(self, raw: bytes) -> list[bytes]:
         # Not where a mark could join a small letter only, nor where special tokens might be spelled in capitals.

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from passagemill.llm import licenses, quality, toxicity
+from passagemill.llm import licenses, packing, quality, toxicity
 
 from .conftest import SCHEMA, filler
 
@@ -192,3 +192,27 @@ def test_ordinal_fit_is_the_optimum():
     for _ in range(200):
         other = both + draw.normal(scale=0.1, size=len(both))
         assert penalised(x, y, other[:4], np.sort(other[4:]), 0.5) > best - 1e-3
+
+
+def test_a_remembered_word_is_looked_up_once():
+    import public_tokenizers
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, word, other=None):
+            Counted.looked += 1
+            return super().get(word, other)
+
+        def __getitem__(self, word):
+            Counted.looked += 1
+            return super().__getitem__(word)
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), remembered=5)
+    text = "one two, three four: five six seven eight " * 40
+    first = words.encode(text)
+    words.encode("other words push the older half away")
+    assert words.older and words.encode(text) == first  # taken back from the older half
+    words.words = Counted(words.words)
+    words.remembered = 1000
+    assert words.encode(text) == first and Counted.looked == len(words._words(text.encode()))
